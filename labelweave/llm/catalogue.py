@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, fstcount, packing, secrets
+from . import chat, exact_dedup, fingerprints, fstcount, packing, secrets, toxicity
 from .common import id_text, read
 
 #: Files of public tokenizers.
@@ -62,7 +62,14 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket")
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op8_chat_formatting, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    model = toxicity.fit(docs, toxicity.labelled(read(spark, sf_dir, "labels")))
+    out = toxicity.score(docs, model)
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op8_chat_formatting, op9_packing, op10_toxicity)}
 
 ORACLE = {
     "op4_exact_dedup": """

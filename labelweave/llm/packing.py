@@ -24,6 +24,9 @@ from .common import id_text, segment_keys, segment_of
 CACHE = 1_200_000
 
 
+_ENDS = {".", ",", "!", "?", ";", ":"}
+
+
 @functools.cache
 def _tokenizer(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -57,9 +60,13 @@ def _cached(keys: list[str], tok, cache: dict[str, bytes]) -> list[bytes]:
         pass
     if len(cache) > CACHE:
         cache.clear()
-    new = list({k for k in keys if k not in cache})
-    for k, e in zip(new, tok.encode_batch([segment_of(k) for k in new], add_special_tokens=False)):
+    new = {k for k in keys if k not in cache}
+    ends = {k for k in new if k[-1:] in _ENDS and k[:-1].isalpha()}  # the word and its punctuation are pre-tokens of their own
+    each = list((new - ends) | {x for k in ends for x in (k[:-1], "\0" + k[-1]) if x not in cache})
+    for k, e in zip(each, tok.encode_batch([segment_of(k) for k in each], add_special_tokens=False)):
         cache[k] = _packed(e.ids)
+    for k in ends:
+        cache[k] = cache[k[:-1]] + cache["\0" + k[-1]]
     return [cache[k] for k in keys]
 
 
