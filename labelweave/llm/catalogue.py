@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, fingerprints, fstcount, packing, secrets, toxicity
+from . import chat, exact_dedup, fingerprints, fstcount, neardup, packing, secrets, toxicity
 from .common import id_text, read
 
 #: Files of public tokenizers.
@@ -44,6 +44,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.withColumn("over_limit", F.col("n_tokens") > 4096)
 
 
+def op7_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.classes(read(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -69,7 +73,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op8_chat_formatting, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op7_minhash_near_dedup, op8_chat_formatting, op9_packing, op10_toxicity)}
 
 ORACLE = {
     "op4_exact_dedup": """
