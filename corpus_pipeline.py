@@ -1,9 +1,61 @@
-"""The stages that turn documents into packed training sequences."""
+"""Documents to packed training sequences: toxicity, exact dedup, near-dedup, secret scans, packing.
 
-STAGES = []
+Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and works on all that it is given; all but
+the last return those columns. Null texts count as empty.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from labelweave.llm import exact_dedup, neardup, packing, secrets, toxicity
+from labelweave.llm.catalogue import BYTE_JSON, vocabulary
+from labelweave.llm.common import read, written
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the toxicity model rejects go."""
+    model = toxicity.fit(docs, toxicity.labelled(read(spark, sf_dir, "labels")))
+    scored = toxicity.score(docs.withColumn("_whole", F.struct(*docs.columns)), model, "_whole")
+    return scored.where("score < 0.5").select("_whole.*")
+
+
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one of the largest doc_id stays."""
+    return exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark))
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near copies the one of the smallest doc_id stays."""
+    kept = neardup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+
+
+def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are overwritten; the documents stay."""
+    ledger = secrets.Ledger(spark)
+    ledger.scan(docs)
+    found = ledger.findings(docs, *docs.columns)
+    text = secrets.masked(F.col("text"), F.col("findings"))
+    masked = found.withColumn("text", F.when(F.size("findings") > 0, text).otherwise(F.col("text")))
+    return masked.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row for each packed piece, with its ids."""
+    pieces = packing.pack(docs, vocabulary(BYTE_JSON))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "bucket", "ids")
+
+
+STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup", drop_near_copies), ("secret scans", mask_secrets), ("packing", pack)]
+
+#: SQL cannot express the toxicity model.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)

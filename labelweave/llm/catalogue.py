@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact_dedup, fingerprints, fstcount, neardup, packing, secrets, toxicity
+from . import bpe, chat, exact_dedup, fingerprints, fstcount, neardup, packing, quality, secrets, toxicity
 from .common import id_text, read
 
 #: Files of public tokenizers.
@@ -26,6 +26,13 @@ def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(said, 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    ratings = toxicity.labelled(read(spark, sf_dir, "labels")).select("doc_id", F.col("quality").alias("grade"))
+    out = quality.score(docs, quality.fit(docs, ratings))
+    return out.select("doc_id", toxicity.held_out().alias("held_out"), "expected_grade", "tail_prob", (F.col("tail_prob") >= 0.5).alias("kept"))
+
+
 def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprints(read(spark, sf_dir, "documents"))
 
@@ -81,7 +88,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op1_byte_bpe, op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op7_minhash_near_dedup, op8_chat_formatting, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_byte_bpe, op2_quality, op3_fingerprints, op4_exact_dedup, op5_secret_scans, op6_token_counts, op7_minhash_near_dedup, op8_chat_formatting, op9_packing, op10_toxicity)}
 
 ORACLE = {
     "op4_exact_dedup": """

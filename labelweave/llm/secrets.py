@@ -116,3 +116,15 @@ def joined(findings, rules: tuple[str, ...] | None = None):
     """rule:start:end of findings, joined by commas; only of the named rules, if given."""
     kept = F.filter(findings, lambda x: x["rule"].isin(*rules)) if rules else findings
     return F.array_join(F.transform(kept, lambda x: F.concat_ws(":", x["rule"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def masked(text, findings, mark: str = "[secret]"):
+    """text with each span of findings, and what overlaps it, as one mark. Findings are sorted by start."""
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def add(acc, x):
+        fresh = x["start"] >= acc["at"]
+        part = F.concat(F.substring(text, acc["at"] + 1, F.greatest(x["start"] - acc["at"], F.lit(0))), F.lit(mark))
+        return F.struct(F.greatest(acc["at"], x["end"]).alias("at"), F.when(fresh, F.array_append(acc["parts"], part)).otherwise(acc["parts"]).alias("parts"))
+
+    return F.aggregate(findings, start, add, lambda a: F.concat(F.array_join(a["parts"], ""), F.substring(text, a["at"] + 1, F.length(text))))
