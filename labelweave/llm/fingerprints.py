@@ -7,6 +7,7 @@ of the canonical text, so equal fingerprints mean equal canonical texts. The lik
 
 Null text: the empty one. Rows of equal doc_id and text are one document, which gets as many equal rows; documents of
 equal doc_id and different text follow each other by a hash of the text; a null doc_id is less than any other.
+The id -2**63 is taken for a null one.
 """
 
 from __future__ import annotations
@@ -66,10 +67,12 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     The edited text has its last floor(n_chars / 4) characters replaced by the first as many of the next document. Whole
     texts are shuffled once; that exchange is used for both joins, and between them only those first characters move.
     """
-    d = id_text(docs).select("doc_id", F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("kid"), F.xxhash64("text").alias("hash"), "text")
+    kind = docs.schema["doc_id"].dataType
+    d = id_text(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("kid"), F.xxhash64("text").alias("hash"), "text")
     keys = d.select("kid", "hash", F.length("text").alias("n"), digest(canonical(F.col("text"))).alias("own")).distinct()
     keys = written(keys, "digests")
-    shared = keys.groupBy(_wide(F.col("own")).alias("w")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("w", F.lit(True).alias("shared"))
+    # written, so that the join shuffles both sides and Spark can split the rows of a digest that very many documents have
+    shared = written(keys.groupBy(_wide(F.col("own")).alias("w")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("w", F.lit(True).alias("shared")), "shared")
     keys = keys.withColumn("w", _wide(F.col("own"))).join(shared, "w", "left").drop("w")
     asked = written(successors(keys).drop("next_n", "next_shared"), "successors")
     asked = asked.withColumn("k", F.floor(F.col("n") / 4).cast("int"))
@@ -78,7 +81,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("k")), F.col("begin"))
     whole = d.join(begins, ["kid", "hash"]).withColumns({"edited": edited}).withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited"))})
     out = whole.select(
-        "doc_id", "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", digest(F.col("edited_canon")).alias("changed"),
+        F.when(F.col("kid") != _LEAST, F.col("kid")).cast(kind).alias("doc_id"), "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", digest(F.col("edited_canon")).alias("changed"),
         (F.col("canon") == F.col("edited_canon")).alias("same"), F.when(F.col("shared"), F.col("canon")).alias("bytes"))
     out = written(out, "fingerprints")
     variants = out.where(F.col("bytes").isNotNull()).groupBy(_wide(F.col("own")).alias("w"), "bytes").agg(F.lit(1).alias("_")).groupBy("w").agg(F.count(F.lit(1)).alias("_n"))
