@@ -1,4 +1,693 @@
-"""The queries of the engine and their SQL for an oracle."""
+"""The queries of the engine over the test tables, each with SQL that says the same where SQL can.
 
-QUERIES: dict = {}
-ORACLE: dict = {}
+Roles: embeddings are features with a truth; labels are two annotators; md5 digits of ids are code strings; orders and
+lineitem are objects and components; events carry scores. Doubles are rounded, as sums differ in their last digits.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import chains, kernels
+from ..operators import classify, dictionary, graph, joins, metrics, neighbours, raster, sampling
+from ..sources import listfile
+from . import experiment
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLE: dict[str, str] = {}
+CLASSES = list(range(10))
+WORD, ENTRIES = 4, 40
+
+
+def query(sql: str | None = None):
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """The named doubles rounded, -0 as 0."""
+    return df.withColumns({c: F.round(F.col(c), digits) + F.lit(0.0) for c in names})
+
+
+def vectors(spark: SparkSession, sf_dir: str, dataset=None) -> DataFrame:
+    e = table(spark, sf_dir, "embeddings")
+    return e.select((dataset if dataset is not None else F.lit(0)).cast("int").alias("dataset"), F.col("vec_id").alias("id"), F.col("embedding").cast("array<double>").alias("features"), "label")
+
+
+def by_three(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors(spark, sf_dir, F.col("vec_id") % 3)
+
+
+V = "SELECT 0 AS dataset, vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings"
+V3 = "SELECT (vec_id % 3)::INTEGER AS dataset, vec_id AS id, embedding::DOUBLE[] AS f, label FROM embeddings"
+_D2 = "list_sum(list_transform(list_zip(a.f, b.f), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+
+
+def knn_sql(k: int, source: str = V, symmetric: str | None = None) -> str:
+    """CTEs v, d, k and e: vectors, distances, nearest neighbours and their edges."""
+    e = {None: "SELECT * FROM k", "union": "SELECT dataset, i, j, min(d) AS d FROM (SELECT * FROM k UNION ALL SELECT dataset, j, i, d FROM k) GROUP BY ALL", "intersection": "SELECT k.* FROM k JOIN k t ON k.dataset = t.dataset AND k.i = t.j AND k.j = t.i"}[symmetric]
+    return f"""v AS ({source}),
+        d AS (SELECT a.dataset, a.id AS i, b.id AS j, {_D2} AS d FROM v a JOIN v b ON a.dataset = b.dataset),
+        k AS (SELECT dataset, i, j, d FROM (SELECT *, row_number() OVER (PARTITION BY dataset, i ORDER BY d, j) AS n FROM d) WHERE n <= {k}),
+        e AS ({e})"""
+
+
+# ---- sources and projections
+
+
+@query("SELECT doc_id AS id, quality::INTEGER AS label FROM labels")
+def s4_truth(spark, sf_dir):
+    df = table(spark, sf_dir, "labels").withColumnRenamed("doc_id", "id")
+    return listfile.truth({"truth": "quality", "quality_labels": {0: "low", 1: "high"}}, df)[0]
+
+
+@query("SELECT p_partkey AS id, p_size::DOUBLE AS f0, p_retailprice AS f1 FROM part")
+def s5_features(spark, sf_dir):
+    df = table(spark, sf_dir, "part").withColumnRenamed("p_partkey", "id")
+    return listfile.features(df, ["p_size", "p_retailprice"]).select("id", F.col("features")[0].alias("f0"), F.col("features")[1].alias("f1"))
+
+
+@query("SELECT a.r_regionkey::VARCHAR AS i, b.r_regionkey::VARCHAR AS j, abs(a.r_regionkey - b.r_regionkey)::DOUBLE AS d FROM region a, region b WHERE abs(a.r_regionkey - b.r_regionkey) < 3")
+def s6_weights(spark, sf_dir):
+    r = table(spark, sf_dir, "region").select(F.lit(0).alias("dataset"), F.col("r_regionkey").alias("id"), F.array(F.col("r_regionkey").cast("double")).alias("features"))
+    near = neighbours.distances(r, kernels.cityblock, blocks=1).where("d < 3")
+    return listfile.weights(listfile.square(near, sorted(str(x[0]) for x in r.select("id").collect())))
+
+
+_FOLDERS = """SELECT strftime(o_orderdate, '%Y%m%d') || ['', '-rescan', '-rescan2'][1 + o_orderkey % 3] || '/' || lpad((o_custkey % 1000000)::VARCHAR, 6, '0') || ['', '~B'][1 + o_orderkey % 2] AS dirname,
+    o_orderkey % 10000 AS n, ['unknown', '1-3', '4-6', '7-8', '9-10', '11-12', '13-14', '15-16'][1 + o_orderkey % 8] AS stage, o_orderdate, o_custkey, o_orderkey FROM orders"""
+
+
+@query(f"""
+    SELECT (n::HUGEINT + 10000::HUGEINT * ((o_orderkey % 2) * 2 + 100::HUGEINT * (o_custkey % 1000000 + 1000000::HUGEINT * (strftime(o_orderdate, '%Y%m%d')::HUGEINT * 10 + o_orderkey % 3))))::VARCHAR AS id,
+           dirname || '/obj' || lpad(n::VARCHAR, 4, '0') || '-mask.png' AS mask, dirname || '/obj' || lpad(n::VARCHAR, 4, '0') || '-bri.png' AS image, (o_orderkey % 8 - 1)::INTEGER AS stage
+    FROM ({_FOLDERS}) WHERE o_orderkey % 8 >= 2""")
+def s13_convert(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    pick = lambda values, k: F.get(F.array(*map(F.lit, values)), (F.col("o_orderkey") % k).cast("int"))
+    folder = F.concat(F.date_format("o_orderdate", "yyyyMMdd"), pick(["", "-rescan", "-rescan2"], 3), F.lit("/"), F.lpad((F.col("o_custkey") % 1000000).cast("string"), 6, "0"), pick(["", "~B"], 2))
+    rows = o.select(folder.alias("dirname"), (F.col("o_orderkey") % 10000).cast("string").alias("metasys_id"), pick(["unknown", "1-3", "4-6", "7-8", "9-10", "11-12", "13-14", "15-16"], 8).alias("stage"))
+    return listfile.converted(rows)[1].withColumn("id", F.col("id").cast("string"))
+
+
+@query("SELECT event_id AS id, CASE WHEN event_type = 'click' THEN 2 * max(CASE WHEN event_type <> 'click' THEN value END) OVER () ELSE value END AS d FROM events")
+def p10_infinite(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select(F.col("event_id").alias("id"), F.when(F.col("event_type") == "click", float("inf")).otherwise(F.col("value")).alias("d"))
+    top = e.agg(F.max(F.when(F.col("d") < float("inf"), F.col("d"))).alias("top"))
+    return e.join(F.broadcast(top)).select("id", kernels.finite(F.col("d"), F.col("top")).alias("d"))
+
+
+@query("SELECT vec_id AS id, c.c AS class, (label = c.c)::INTEGER::DOUBLE AS hard, (2 * (label = c.c)::INTEGER - 1)::DOUBLE AS sign FROM embeddings, (SELECT unnest(range(10))::INTEGER AS c) c")
+def p4_one_vs_rest(spark, sf_dir):
+    p = vectors(spark, sf_dir).select("dataset", "id", F.col("label").alias("pred"), F.array(*[F.lit(0.1)] * 10).alias("probs"))
+    hard = graph.one_vs_rest(p, CLASSES).select("id", F.posexplode("y").alias("class", "hard"))
+    return hard.withColumn("sign", 2 * F.col("hard") - 1)
+
+
+@query("SELECT doc_id AS id, quality AS truth, toxic AS pred FROM labels WHERE toxic <> quality")
+def p6_only_errors(spark, sf_dir):
+    df = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("truth"), F.col("toxic").alias("pred"), F.lit(None).cast("int").alias("prop"))
+    return joins.only_errors(df).select("id", "truth", "pred")
+
+
+# ---- joins
+
+
+@query("SELECT vec_id AS id, label, len(embedding)::INTEGER AS dims FROM embeddings")
+def j1_aligned(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return joins.aligned(v.select("id", F.size("features").alias("dims")), v.select("id", "label")).select("id", "label", "dims")
+
+
+@query("SELECT doc_id, lang, source FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
+def j4_select_ordered(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    values = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id", (-F.col("doc_id")).alias("ord"))
+    return joins.select_ordered(d, values, "doc_id")
+
+
+@query("SELECT doc_id AS id, quality AS a, toxic AS b FROM labels WHERE quality <> 0 AND toxic <> 0")
+def j6_annotators(spark, sf_dir):
+    t = table(spark, sf_dir, "labels")
+    return joins.both_rated(t.select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), t.select(F.col("doc_id").alias("id"), F.col("toxic").alias("label")))
+
+
+@query("SELECT d.doc_id, d.source, coalesce(quality::VARCHAR, 'N/A') AS quality, coalesce(toxic::VARCHAR, 'N/A') AS toxic FROM documents d LEFT JOIN labels l USING (doc_id)")
+def j7_with_default(spark, sf_dir):
+    return joins.with_default(table(spark, sf_dir, "documents").select("doc_id", "source"), table(spark, sf_dir, "labels"), "doc_id", ["quality", "toxic"])
+
+
+@query("SELECT d.doc_id AS id, (CASE WHEN quality >= 1 THEN quality - 1 ELSE 255 END)::INTEGER AS value FROM documents d LEFT JOIN labels l USING (doc_id)")
+def j8_with_sentinel(spark, sf_dir):
+    ids = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"))
+    return joins.with_sentinel(ids, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+
+
+@query("""
+    SELECT o_orderkey AS obj, m.m AS measure, m.m < 0.02 AS blurred, coalesce(c.cut, false) AS touching, m.m < 0.02 OR coalesce(c.cut, false) AS bad_outline
+    FROM orders JOIN (SELECT l_orderkey, min(l_tax) AS m FROM lineitem GROUP BY 1) m ON m.l_orderkey = o_orderkey
+    LEFT JOIN (SELECT l_suppkey, bool_or(l_returnflag = 'R' AND l_quantity > 49) AS cut FROM lineitem GROUP BY 1) c ON c.l_suppkey = o_custkey""")
+def j9_bad_outline(spark, sf_dir):
+    o, li = table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem")
+    blur = li.select(F.col("l_orderkey").alias("obj"), F.col("l_tax").alias("measure"))
+    objects = o.select(F.col("o_orderkey").alias("obj"), F.col("o_custkey").alias("bbox"))
+    parts = li.select(F.col("l_suppkey").alias("bbox"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 49)).alias("cut"))
+    out = joins.bad_outline(o.select(F.col("o_orderkey").alias("obj")), blur, objects, parts, 0.02)
+    return out.join(blur.groupBy("obj").agg(F.min("measure").alias("measure")), "obj").select("obj", "measure", "blurred", "touching", "bad_outline")
+
+
+@query(f"WITH v AS ({V}), d AS (SELECT a.id AS i, {_D2} AS d FROM v a, v b) SELECT i, count(*) AS n, round(sum(d), 6) AS total, round(max(d), 6) AS far FROM d GROUP BY i")
+def j11_all_pairs(spark, sf_dir):
+    d = neighbours.distances(vectors(spark, sf_dir), kernels.squared_euclidean)
+    return rounded(d.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("total"), F.max("d").alias("far")), "total", "far")
+
+
+@query(f"WITH v AS ({V}), d AS (SELECT a.id AS i, {_D2} AS d FROM v a, v b WHERE a.label < 5 AND b.label >= 5) SELECT i, count(*) AS n, round(min(d), 6) AS near FROM d GROUP BY i")
+def j12_rectangle(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    d = neighbours.distances(v.where("label < 5"), kernels.squared_euclidean, other=v.where("label >= 5"))
+    return rounded(d.groupBy("i").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("near")), "near")
+
+
+# ---- nearest neighbours and windows
+
+
+def _knn(symmetric):
+    def run(spark, sf_dir):
+        return rounded(neighbours.knn(vectors(spark, sf_dir), 5, symmetric), "d").select("i", "j", "d")
+
+    return run
+
+
+for _name, _kind in (("w1_knn", None), ("w1_knn_union", "union"), ("w1_knn_intersection", "intersection")):
+    QUERIES[_name] = _knn(_kind)
+    ORACLE[_name] = f"WITH {knn_sql(5, V, _kind)} SELECT i, j, round(d, 6) AS d FROM e"
+
+
+@query(f"WITH {knn_sql(3, V3)} SELECT dataset, i, j, round(d, 6) AS d FROM e")
+def w1_knn_by_dataset(spark, sf_dir):
+    return rounded(neighbours.knn(by_three(spark, sf_dir), 3), "d").select("dataset", "i", "j", "d")
+
+
+@query(f"""
+    WITH {knn_sql(4)} SELECT e.i AS id, t.label::VARCHAR AS truth, string_agg(e.j || ':' || CASE WHEN e.j % 2 = 0 THEN o.label::VARCHAR ELSE 'N/A' END, ',' ORDER BY e.d, e.j) AS neighbours
+    FROM e JOIN v t ON t.id = e.i JOIN v o ON o.id = e.j WHERE e.i % 2 = 0 GROUP BY 1, 2""")
+def w3_report(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    near = neighbours.knn(v, 4)
+    r = neighbours.report(near, v.where("id % 2 = 0").select("dataset", "id", "label"), k=4)
+    return r.select("id", "truth", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["id"], x["truth"])), ",").alias("neighbours"))
+
+
+@query("SELECT user_id AS id, event_type AS class FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS n FROM (SELECT user_id, event_type, sum(value::DECIMAL(18,2)) AS s FROM events GROUP BY 1, 2)) WHERE n = 1")
+def w4_argmax(spark, sf_dir):
+    s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("class")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("prob"))
+    return metrics.argmax(s, "id")
+
+
+_CV = "SELECT l_returnflag AS p1, l_linestatus AS p2, l_linenumber AS dataset, l_discount::DECIMAL(18,4) AS score FROM lineitem"
+
+
+def _cv(spark, sf_dir):
+    return table(spark, sf_dir, "lineitem").select(F.col("l_returnflag").alias("p1"), F.col("l_linestatus").alias("p2"), F.col("l_linenumber").alias("dataset"), F.col("l_discount").alias("score"))
+
+
+@query(f"SELECT p1, p2, round(avg(score::DOUBLE), 6) AS mean, round(stddev_pop(score::DOUBLE), 6) AS std FROM ({_CV}) GROUP BY ALL")
+def a15_grid_scores(spark, sf_dir):
+    return rounded(metrics.grid_scores(_cv(spark, sf_dir), "p1", "p2"), "mean", "std")
+
+
+@query(f"SELECT p1, p2, round(avg(score::DOUBLE), 6) AS mean FROM ({_CV}) GROUP BY ALL ORDER BY mean DESC, p1, p2 LIMIT 1")
+def w6_best_point(spark, sf_dir):
+    return metrics.best_point(rounded(metrics.grid_scores(_cv(spark, sf_dir), "p1", "p2"), "mean"), "p1", "p2").select("p1", "p2", "mean")
+
+
+@query(f"SELECT p1, round(avg(score::DOUBLE) FILTER (p2 = 'F'), 6) AS \"F\", round(avg(score::DOUBLE) FILTER (p2 = 'O'), 6) AS \"O\" FROM ({_CV}) GROUP BY p1")
+def a16_grid_table(spark, sf_dir):
+    return rounded(metrics.grid_table(_cv(spark, sf_dir), "p1", "p2", ["F", "O"]), "F", "O")
+
+
+_U = "(value - floor(value))"
+
+
+@query(f"SELECT event_id AS id, (1 + ({_U} > 0.2)::INTEGER + ({_U} > 0.5)::INTEGER)::INTEGER AS class FROM events")
+def w10_drawn_class(spark, sf_dir):
+    e = table(spark, sf_dir, "events")
+    return e.select(F.col("event_id").alias("id"), sampling.drawn_class(F.col("value") - F.floor("value"), [2.0, 3.0, 5.0]).alias("class"))
+
+
+# ---- ranking curves: score the toxic label by a document's length
+
+_SCORED = "SELECT d.n_chars % 1000 AS score, toxic AS y, source FROM documents d JOIN labels USING (doc_id)"
+_RANKED = f"""s AS (SELECT score, sum(y) AS p, sum(1 - y) AS n FROM ({_SCORED}) GROUP BY score),
+    r AS (SELECT score, sum(p) OVER w AS tp, sum(n) OVER w AS fp, sum(p) OVER () AS tot_p, sum(n) OVER () AS tot_n FROM s WINDOW w AS (ORDER BY score DESC ROWS UNBOUNDED PRECEDING))"""
+
+
+def _scored(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", (F.col("n_chars") % 1000).cast("double").alias("score"))
+    return d.join(table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("y")), "doc_id").select("score", "y", "source")
+
+
+@query(f"WITH {_RANKED} SELECT score::DOUBLE AS score, round(fp / tot_n, 6) AS fpr, round(tp / tot_p, 6) AS tpr FROM r UNION ALL SELECT NULL, 0.0, 0.0")
+def w14_roc(spark, sf_dir):
+    return rounded(metrics.roc(_scored(spark, sf_dir)), "fpr", "tpr")
+
+
+@query(f"WITH {_RANKED} SELECT score::DOUBLE AS score, round(tp / (tp + fp), 6) AS precision, round(tp / tot_p, 6) AS recall FROM r UNION ALL (SELECT NULL, round(tp / (tp + fp), 6), 0.0 FROM r ORDER BY score DESC LIMIT 1)")
+def w15_precision_recall(spark, sf_dir):
+    return rounded(metrics.precision_recall(_scored(spark, sf_dir)), "precision", "recall")
+
+
+@query(f"""WITH {_RANKED}, c AS (SELECT fp / tot_n AS x, tp / tot_p AS y FROM r UNION ALL SELECT 0, 0)
+    SELECT round(sum(a), 6) AS auc FROM (SELECT (x - lag(x) OVER w) * (y + lag(y) OVER w) / 2 AS a FROM c WINDOW w AS (ORDER BY x, y))""")
+def w16_auc(spark, sf_dir):
+    return rounded(metrics.area(metrics.roc(_scored(spark, sf_dir)), "fpr", "tpr"), "auc")
+
+
+@query()
+def w17_average_curve(spark, sf_dir):
+    return rounded(metrics.average_curve(metrics.roc(_scored(spark, sf_dir), "source"), "fpr", "tpr", "source", 101), "fpr", "tpr")
+
+
+# ---- evaluation: quality as truth, toxic as prediction
+
+_TP = "SELECT quality AS truth, toxic AS pred, (doc_id % 3)::INTEGER AS dataset FROM labels"
+
+
+def _judged(spark, sf_dir):
+    return table(spark, sf_dir, "labels").select(F.col("quality").cast("int").alias("truth"), F.col("toxic").cast("int").alias("pred"), (F.col("doc_id") % 3).cast("int").alias("dataset"))
+
+
+@query("SELECT l.l::INTEGER AS label, count(quality) AS n FROM (SELECT unnest([0, 1, 2]) AS l) l LEFT JOIN labels ON quality = l.l GROUP BY 1")
+def a1_class_counts(spark, sf_dir):
+    return metrics.class_counts(table(spark, sf_dir, "labels"), [0, 1, 2], "quality")
+
+
+_GRID = "(SELECT unnest([0, 1])::INTEGER AS truth) CROSS JOIN (SELECT unnest([0, 1])::INTEGER AS pred)"
+
+
+@query(f"SELECT g.truth, g.pred, count(t.truth) AS n FROM (SELECT * FROM {_GRID}) g LEFT JOIN ({_TP}) t ON t.truth = g.truth AND t.pred = g.pred GROUP BY ALL")
+def a2_confusion(spark, sf_dir):
+    return metrics.confusion(_judged(spark, sf_dir), [0, 1])
+
+
+@query(f"SELECT truth::INTEGER AS truth, pred::INTEGER AS pred, count(*) AS n FROM (SELECT label AS truth, (label + vec_id % 2) % 10 AS pred FROM embeddings) GROUP BY ALL")
+def a3_confusion_of_all(spark, sf_dir):
+    df = table(spark, sf_dir, "embeddings").select(F.col("label").alias("truth"), ((F.col("label") + F.col("vec_id") % 2) % 10).cast("int").alias("pred"))
+    return metrics.confusion(df, strict=True).where("n > 0")
+
+
+@query(f"SELECT dataset, round(sum((truth = pred)::INTEGER) / (count(*) + 1e-10), 6) AS accuracy FROM ({_TP}) GROUP BY 1")
+def a4_accuracy(spark, sf_dir):
+    return rounded(metrics.accuracy(_judged(spark, sf_dir), "dataset"), "accuracy")
+
+
+@query(f"""SELECT l.l::INTEGER AS label, round(sum((truth = l.l AND pred = l.l)::INTEGER) / (sum((truth = l.l)::INTEGER) + 1e-10), 6) AS recall,
+    round(sum((truth = l.l AND pred = l.l)::INTEGER) / (sum((pred = l.l)::INTEGER) + 1e-10), 6) AS precision FROM (SELECT unnest([0, 1]) AS l) l, ({_TP}) GROUP BY 1""")
+def a5_recall_precision(spark, sf_dir):
+    return rounded(metrics.recall_precision(_judged(spark, sf_dir), [0, 1]), "recall", "precision")
+
+
+@query(f"""WITH t AS ({_TP}), r AS (SELECT truth, avg((truth = pred)::INTEGER) AS r FROM t GROUP BY 1)
+    SELECT round((SELECT avg((truth = pred)::INTEGER) FROM t), 6) AS sample_acc, round((SELECT avg(r) FROM r), 6) AS label_acc""")
+def a6_evaluation(spark, sf_dir):
+    return rounded(metrics.evaluation(_judged(spark, sf_dir), [0, 1, 2]), "sample_acc", "label_acc")
+
+
+@query(f"""WITH t AS ({_TP}), s AS (SELECT dataset, avg((truth = pred)::INTEGER) AS a FROM t GROUP BY 1), r AS (SELECT dataset, truth, avg((truth = pred)::INTEGER) AS r FROM t GROUP BY 1, 2)
+    SELECT round((SELECT avg((truth = pred)::INTEGER) FROM t), 6) AS sample_acc, round((SELECT avg(a) FROM s), 6) AS set_acc, round((SELECT avg(m) FROM (SELECT truth, avg(r) AS m FROM r GROUP BY 1)), 6) AS label_acc""")
+def a8_pooled(spark, sf_dir):
+    return rounded(metrics.pooled(_judged(spark, sf_dir), [0, 1, 2]), "sample_acc", "set_acc", "label_acc")
+
+
+@query("""WITH p AS (SELECT vec_id % 7 AS a, label % 5 AS b FROM embeddings WHERE vec_id % 7 <> 0 AND label % 5 <> 0), r AS (SELECT a, avg((a = b)::INTEGER) AS r FROM p WHERE a <= 4 AND b <= 4 GROUP BY 1)
+    SELECT (SELECT count(*) FROM p) AS n_both, round((SELECT sum((a = b AND a <= 4)::INTEGER) / count(*) FROM p), 6) AS accuracy, round((SELECT avg(r) FROM r), 6) AS label_acc""")
+def a9_agreement(spark, sf_dir):
+    e = table(spark, sf_dir, "embeddings")
+    rated = lambda c: e.select(F.col("vec_id").alias("id"), c.cast("int").alias("label"))
+    pairs = joins.both_rated(rated(F.col("vec_id") % 7), rated(F.col("label") % 5))
+    return rounded(metrics.agreement(pairs, [1, 2, 3, 4]), "accuracy", "label_acc")
+
+
+@query(f"""WITH t AS ({_TP}), c AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT count(*) AS n FROM t GROUP BY truth, pred)), r AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT count(*) AS n FROM t GROUP BY truth)),
+    s AS (SELECT sum(n * (n - 1) / 2) AS a FROM (SELECT count(*) AS n FROM t GROUP BY pred)) SELECT round(c.a / (r.a + s.a - c.a + 1e-10), 6) AS jaccard FROM c, r, s""")
+def a10_pair_jaccard(spark, sf_dir):
+    return rounded(metrics.pair_jaccard(_judged(spark, sf_dir)), "jaccard")
+
+
+@query(f"""WITH c AS (SELECT g.truth, g.pred, count(t.truth) AS n FROM (SELECT * FROM {_GRID}) g LEFT JOIN ({_TP}) t ON t.truth = g.truth AND t.pred = g.pred GROUP BY ALL)
+    SELECT truth, pred, n, round(n / (sum(n) OVER (PARTITION BY truth) + 1e-10), 6) AS recall, round(n / (sum(n) OVER (PARTITION BY pred) + 1e-10), 6) AS precision FROM c""")
+def a18_row_normalised(spark, sf_dir):
+    return rounded(metrics.row_normalised(metrics.confusion(_judged(spark, sf_dir), [0, 1])), "recall", "precision")
+
+
+@query("SELECT l_returnflag, least(floor(l_quantity / 5.1)::INTEGER, 9)::INTEGER AS bin, count(*) AS n FROM lineitem GROUP BY ALL")
+def a19_histogram(spark, sf_dir):
+    return metrics.histogram(table(spark, sf_dir, "lineitem"), "l_quantity", "l_returnflag", 0.0, 51.0)
+
+
+# ---- samples
+
+
+@query("SELECT doc_id AS id FROM labels ORDER BY md5('0:' || doc_id), doc_id LIMIT 50")
+def r1_subsample(spark, sf_dir):
+    return sampling.subsample(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id")), 50)
+
+
+@query("""WITH n AS (SELECT min(c) AS n FROM (SELECT count(*) AS c FROM labels GROUP BY quality))
+    SELECT id, label FROM (SELECT doc_id AS id, quality AS label, row_number() OVER (PARTITION BY quality ORDER BY md5('0:' || doc_id), doc_id) AS k FROM labels), n WHERE k <= n""")
+def r2_balanced(spark, sf_dir):
+    return sampling.balanced(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")))
+
+
+@query("SELECT quality AS label, greatest(count(*), 100) AS n FROM labels GROUP BY 1 HAVING count(*) <= 100 UNION ALL SELECT quality, 100 FROM labels GROUP BY 1 HAVING count(*) > 100")
+def r2_oversampled(spark, sf_dir):
+    df = sampling.balanced(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), count=100)
+    return df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT doc_id AS id, quality AS label, ((row_number() OVER (PARTITION BY quality ORDER BY md5('0:' || doc_id), doc_id) - 1) % 5)::INTEGER AS fold FROM labels")
+def r3_folds(spark, sf_dir):
+    return sampling.folds(table(spark, sf_dir, "labels").select(F.col("doc_id").alias("id"), F.col("quality").alias("label")), 5)
+
+
+@query()
+def m1_mixture(spark, sf_dir):
+    return sampling.mixture(spark, 444, [1.0, 1.0, 1.0], [[0.0, 1.0, 2.0], [0.0, 2.0, 4.0]], [[1.0, 1.0, 1.0], [0.5, 0.5, 0.5]], 1, 1, seed=7)[1]
+
+
+# ---- kernels on vectors that follow each other
+
+_PAIRS = f"(SELECT a.id AS i, a.f AS a, b.f AS b FROM ({V}) a JOIN ({V}) b ON b.id = a.id + 1)"
+
+
+def _pairs(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    return v.select(F.col("id").alias("i"), F.col("features").alias("a")).join(v.select((F.col("id") - 1).alias("i"), F.col("features").alias("b")), "i")
+
+
+_Z = "list_zip(a, b)"
+_NCC = "list_dot_product(sa, sb) / len(sa)"
+
+
+@query(f"""
+    SELECT i, round(list_sum(list_transform({_Z}, lambda z: (z[1] - z[2]) ** 2)), 6) AS ssd, round(list_sum(list_transform(list_zip(sa, sb), lambda z: (z[1] - z[2]) ** 2)), 6) AS nssd,
+           round(-ln(({_NCC} + 1) / 2 + 1e-10), 6) AS ncclog, round((1 - {_NCC}) / 2, 6) AS nccone, round(CASE WHEN {_NCC} > 0 THEN 1 - {_NCC} ELSE 0 END, 6) AS nccplus, round(CASE WHEN {_NCC} > 0 THEN 1 - {_NCC} ELSE 1 END, 6) AS nccplusok,
+           round(1 - list_sum(list_transform(list_zip(pa, pb), lambda z: least(z[1], z[2]))) / list_sum(list_transform(list_zip(pa, pb), lambda z: greatest(z[1], z[2]))), 6) AS jaccard,
+           round(1 - list_cosine_similarity(a, b), 6) AS cosine, round(list_distance(a, b), 6) AS euclidean, round(list_sum(list_transform({_Z}, lambda z: abs(z[1] - z[2]))), 6) AS cityblock
+    FROM (SELECT *, list_transform(a, lambda x: (x - ma) / greatest(da, 1e-20)) AS sa, list_transform(b, lambda x: (x - mb) / greatest(db, 1e-20)) AS sb, list_transform(a, lambda x: abs(x)) AS pa, list_transform(b, lambda x: abs(x)) AS pb
+          FROM (SELECT *, list_avg(a) AS ma, list_avg(b) AS mb, list_stddev_pop(a) AS da, list_stddev_pop(b) AS db FROM {_PAIRS}))""")
+def k_measures(spark, sf_dir):
+    p = _pairs(spark, sf_dir).withColumns({f"s{c}": kernels.standardise(F.col(c)) for c in "ab"} | {f"p{c}": F.transform(c, lambda x: F.abs(x)) for c in "ab"})
+    out = {}
+    for name in ("SSD", "NSSD", "NCClog", "NCCone", "NCCplus", "NCCplusok", "cosine", "euclidean", "cityblock"):
+        side = "s" if name in kernels.NORMALISED else ""
+        out[name.lower()] = kernels.MEASURES[name](F.col(f"{side}a"), F.col(f"{side}b"))
+    out["jaccard"] = kernels.weighted_jaccard(F.col("pa"), F.col("pb"))
+    return rounded(p.select("i", *[v.alias(k) for k, v in out.items()]), *out)
+
+
+def _flipped(row: str, col: str) -> str:
+    return f"list_transform(range(64), lambda k: b[1 + {row} * 8 + {col}])"
+
+
+@query(f"""
+    SELECT i, round(d, 6) AS d, flip FROM (SELECT i, t.d AS d, t.flip AS flip, row_number() OVER (PARTITION BY i ORDER BY t.d, t.flip) AS n FROM (
+        SELECT i, unnest([{{d: list_distance(a, b) ** 2, flip: 'I'}}, {{d: list_distance(a, {_flipped('(7 - k // 8)', '(k % 8)')}) ** 2, flip: 'V'}},
+                          {{d: list_distance(a, {_flipped('(k // 8)', '(7 - k % 8)')}) ** 2, flip: 'H'}}, {{d: list_distance(a, {_flipped('(7 - k // 8)', '(7 - k % 8)')}) ** 2, flip: 'X'}}]) AS t FROM {_PAIRS})) WHERE n = 1""")
+def k12_rotations(spark, sf_dir):
+    image = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice(c, r * 8 + 1, 8))
+    d = kernels.image_distance(image(F.col("a")), image(F.col("b")), "SSD", rotations=True)
+    return rounded(_pairs(spark, sf_dir).select("i", d.alias("x")).select("i", "x.*"), "d")
+
+
+@query(f"""
+    SELECT i, round(1 - list_sum(list_transform(list_zip(ha, hb), lambda z: least(z[1], z[2]))) / list_sum(list_transform(list_zip(ha, hb), lambda z: greatest(z[1], z[2]))), 6) AS d
+    FROM (SELECT i, list_transform(range(8), lambda c: list_avg(list_transform(range(8), lambda r: abs(a[1 + r * 8 + c])))) AS ha, list_transform(range(8), lambda c: list_avg(list_transform(range(8), lambda r: abs(b[1 + r * 8 + c])))) AS hb FROM {_PAIRS})""")
+def k10_projection(spark, sf_dir):
+    image = lambda c: F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice(c, r * 8 + 1, 8), lambda x: F.abs(x)))
+    d = kernels.image_distance(image(F.col("a")), image(F.col("b")), "Jaccardhproj")
+    return rounded(_pairs(spark, sf_dir).select("i", d["d"].alias("d")), "d")
+
+
+@query("SELECT c_custkey AS id, hamming(md5(c_name), md5(c_mktsegment))::INTEGER AS hamming, round(hamming(md5(c_name), md5(c_mktsegment)) / 32, 6) AS jaccard FROM customer")
+def k2_hamming(spark, sf_dir):
+    c = table(spark, sf_dir, "customer")
+    a, b = F.md5("c_name"), F.md5("c_mktsegment")
+    return rounded(c.select(F.col("c_custkey").alias("id"), kernels.hamming(a, b).alias("hamming"), kernels.positional_jaccard(a, b).alias("jaccard")), "jaccard")
+
+
+@query()
+def k4_damerau_levenshtein(spark, sf_dir):
+    p = table(spark, sf_dir, "part")
+    return p.select(F.col("p_partkey").alias("id"), kernels.damerau_levenshtein(F.col("p_name"), F.col("p_type")).alias("d"))
+
+
+@query(f"WITH {knn_sql(5, V, 'union')} SELECT i, j, round(exp(-d * 2.0), 6) AS w FROM e WHERE i <> j")
+def k13_weights(spark, sf_dir):
+    return rounded(graph.edge_weights(neighbours.knn(vectors(spark, sf_dir), 5, "union"), 2.0), "w").select("i", "j", "w")
+
+
+# ---- chain codes: md5 digits as codes
+
+_CODES = "SELECT doc_id AS id, 2 AS scale, translate(md5(doc_id::VARCHAR), '89abcdef', '01234567') AS code, lang FROM documents"
+
+
+def _codes(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), F.lit(2).alias("scale"), F.translate(F.md5(F.col("doc_id").cast("string")), "89abcdef", "01234567").alias("code"), "lang")
+
+
+def _count_sql(s: str, weights: tuple[int, ...]) -> str:
+    return " + ".join(f"{w} * (len({s}) - len(replace({s}, '{k}', '')))" for k, w in enumerate(weights) if w)
+
+
+@query(f"""SELECT id, CASE WHEN {_count_sql('code', chains.DY)} < 0 THEN translate(x, '01234567', '07654321') ELSE x END AS code
+    FROM (SELECT *, CASE WHEN {_count_sql('code', chains.DX)} < 0 THEN translate(code, '01234567', '43210765') ELSE code END AS x FROM ({_CODES}))""")
+def f5_normalised(spark, sf_dir):
+    return _codes(spark, sf_dir).select("id", chains.normalised(F.col("code")).alias("code"))
+
+
+@query(f"""SELECT id, k::INTEGER AS k, (sum([1, 1, 0, -1, -1, -1, 0, 1][1 + code[k]::INTEGER]) OVER w)::BIGINT AS x, (sum([0, 1, 1, 1, 0, -1, -1, -1][1 + code[k]::INTEGER]) OVER w)::BIGINT AS y
+    FROM ({_CODES}), (SELECT unnest(range(1, 33)) AS k) WINDOW w AS (PARTITION BY id ORDER BY k)""")
+def w11_coordinates(spark, sf_dir):
+    c = _codes(spark, sf_dir).select("id", F.posexplode(chains.coordinates(chains.from_string(F.col("code")))).alias("k", "p"))
+    return c.where("k > 0").select("id", "k", F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
+
+
+@query()
+def w13_unwrapped(spark, sf_dir):
+    return _codes(spark, sf_dir).select("id", F.array_join(chains.unwrapped(chains.from_string(F.col("code"))).cast("array<string>"), ",").alias("codes"))
+
+
+@query()
+def f1_boundaries(spark, sf_dir):
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("features", r * 8 + 1, 8), lambda x: x > 0))
+    b = vectors(spark, sf_dir).select("id", raster.boundary(image).alias("b")).where(F.size("b") > 2)
+    points = F.transform("b", lambda p: F.struct(p["y"].alias("a"), p["x"].alias("b")))
+    return b.select("id", chains.to_string(chains.from_boundary(points)).alias("code"))
+
+
+_WINDOWS = f"w AS (SELECT id, lang, scale, substr(code || substr(code, 1, {WORD}), k, {WORD}) AS word FROM ({_CODES}), (SELECT unnest(range(1, 34)) AS k))"
+
+
+@query(f"WITH {_WINDOWS} SELECT scale, word, count(*) AS count FROM w GROUP BY ALL")
+def a11_histogram(spark, sf_dir):
+    return dictionary.histogram(dictionary.words(_codes(spark, sf_dir), WORD))
+
+
+_LANGS = ["de", "en", "es", "fr"]
+
+
+@query(f"WITH {_WINDOWS} SELECT scale, word, count(*) AS count, {', '.join(f"count(*) FILTER (lang = '{g}') AS group{g}" for g in _LANGS)}, round(ln(4.0 / count(DISTINCT lang)), 6) AS idf FROM w GROUP BY ALL")
+def a12_grouped_histogram(spark, sf_dir):
+    c = _codes(spark, sf_dir)
+    rows = dictionary.words(c, WORD).join(c.select("id", "lang"), "id")
+    return rounded(dictionary.grouped_histogram(rows, "lang", _LANGS), "idf")
+
+
+_TOP = f"""{_WINDOWS}, h AS (SELECT word, count(*) AS n FROM w GROUP BY 1), top AS (SELECT word, n, (row_number() OVER (ORDER BY n DESC, word) - 1)::INTEGER AS rank FROM h QUALIFY rank < {ENTRIES})"""
+
+
+@query(f"WITH {_TOP} SELECT 2 AS scale, rank, word, n::DOUBLE AS score FROM top")
+def w7_top_words(spark, sf_dir):
+    return dictionary.top_words(dictionary.histogram(dictionary.words(_codes(spark, sf_dir), WORD)), ENTRIES, F.col("count").cast("double"))
+
+
+def _entries(spark, sf_dir):
+    return w7_top_words(spark, sf_dir).select("scale", F.col("rank").alias("word_idx"), "word", F.col("score").alias("count"))
+
+
+@query(f"""WITH {_TOP}, p AS (SELECT id, substr(code || substr(code, 1, {WORD}), k, {WORD}) AS word FROM ({_CODES}), (SELECT unnest(range(1, 33)) AS k)),
+    d AS (SELECT p.word, top.rank, hamming(p.word, top.word) AS d FROM (SELECT DISTINCT word FROM p) p, top), m AS (SELECT *, min(d) OVER (PARTITION BY word) AS m FROM d),
+    t AS (SELECT word, rank, 1.0 / count(*) OVER (PARTITION BY word) AS share FROM m WHERE d = m), b AS (SELECT id, rank, sum(share) AS v FROM p JOIN t USING (word) GROUP BY 1, 2)
+    SELECT id, 2 AS scale, rank AS word_idx, round(v / sum(v) OVER (PARTITION BY id) + 1e-9, 6) AS value FROM b""")
+def a13_bag_of_words(spark, sf_dir):
+    b = dictionary.bag_of_words(_codes(spark, sf_dir), _entries(spark, sf_dir), WORD)
+    return rounded(b.withColumn("value", F.col("value") + 1e-9), "value")  # off the halves of the last digit
+
+
+@query()
+def c1_dictionary(spark, sf_dir):
+    c = _codes(spark, sf_dir)
+    return dictionary.train(c, WORD, 200, "tfidf-classes", "vq", labels=c.select("id", F.col("lang").alias("label")), threshold=2)
+
+
+@query()
+def c3_medoids(spark, sf_dir):
+    return dictionary.train(_codes(spark, sf_dir), WORD, 200, "tf", "cluster", size=20)
+
+
+@query()
+def c7_features(spark, sf_dir):
+    c, d = _codes(spark, sf_dir), _entries(spark, sf_dir)
+    return dictionary.vectors(dictionary.bag_of_words(c, d, WORD), d)[1].select("id", F.size("features").alias("n"), F.round(kernels.total(F.col("features")), 6).alias("total"))
+
+
+# ---- propagation
+
+_KNOWN, _BANDWIDTH, _STEPS = "id % 5 = 0", 2.0, 10
+
+
+def _nodes_sql(source: str) -> str:
+    known = _KNOWN.replace("id", "v.id")
+    return f"""n AS (SELECT v.dataset, v.id, c.c, CASE WHEN {known} AND v.label = c.c THEN 1.0 ELSE 0.0 END::DOUBLE AS y, CASE WHEN {known} THEN CASE WHEN v.label = c.c THEN 1.0 ELSE 0.0 END ELSE 0.1 END::DOUBLE AS p
+        FROM v, (SELECT unnest(range(10))::INTEGER AS c) c)"""
+
+
+def _harmonic_sql(steps: int) -> str:
+    return f"""WITH RECURSIVE {knn_sql(5, V, 'union')}, w AS (SELECT i, j, exp(-d * {_BANDWIDTH}) AS w FROM e WHERE i <> j), deg AS (SELECT i AS id, sum(w) AS deg FROM w GROUP BY 1), {_nodes_sql(V)},
+        f AS (SELECT 0 AS it, id, c, 0.0::DOUBLE AS f FROM n
+              UNION ALL SELECT s.it + 1, n.id, n.c, (s.s + exp(n.p) * n.y) / (deg.deg + exp(n.p))
+              FROM (SELECT f.it, w.i, f.c, sum(w.w * f.f) AS s FROM f JOIN w ON w.j = f.id WHERE f.it < {steps} GROUP BY 1, 2, 3) s JOIN n ON n.id = s.i AND n.c = s.c JOIN deg ON deg.id = n.id)"""
+
+
+def _pred(v: DataFrame) -> DataFrame:
+    return experiment.masked_predictions(v, CLASSES, _KNOWN)
+
+
+@query(_harmonic_sql(_STEPS) + f" SELECT id, c::INTEGER AS class, round(f, 6) AS score FROM f WHERE it = {_STEPS}")
+def g3_harmonic_steps(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    s = experiment.propagate(_pred(v), neighbours.knn(v, 5, "union"), CLASSES, _BANDWIDTH, steps=_STEPS)
+    return rounded(s.select("id", F.posexplode("scores").alias("class", "score")), "score")
+
+
+@query(_harmonic_sql(_STEPS) + f""", p AS (SELECT id, c, row_number() OVER (PARTITION BY id ORDER BY f DESC, c) AS r FROM f WHERE it = {_STEPS})
+    SELECT v.id, v.label AS truth, p.c::INTEGER AS pred, v.id % 5 = 0 AS known FROM p JOIN v ON v.id = p.id WHERE r = 1""")
+def g5_propagated(spark, sf_dir):
+    return flagship(spark, sf_dir)
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of a fifth of the vectors spread over the graph of five nearest neighbours: id, truth, pred, known."""
+    v = vectors(spark, sf_dir)
+    scores = experiment.propagate(_pred(v), neighbours.knn(v, 5, "union"), CLASSES, _BANDWIDTH, steps=_STEPS)
+    return graph.decided(scores, CLASSES).join(v.select("id", F.col("label").alias("truth"), F.expr(_KNOWN).alias("known")), "id").select("id", "truth", "pred", "known")
+
+
+@query()
+def g3_harmonic_exact(spark, sf_dir):
+    v = by_three(spark, sf_dir)
+    s = experiment.propagate(_pred(v), neighbours.knn(v, 5, "union"), CLASSES, _BANDWIDTH)
+    return rounded(s.select("dataset", "id", F.posexplode("scores").alias("class", "score")), "score")
+
+
+@query(f"""WITH RECURSIVE {knn_sql(5, V, 'union')}, w AS (SELECT i, j, exp(-d * {_BANDWIDTH}) AS w FROM e WHERE i <> j), deg AS (SELECT i AS id, sum(w) AS deg FROM w GROUP BY 1), {_nodes_sql(V)},
+        f AS (SELECT 0 AS it, id, c, 0.0::DOUBLE AS f FROM n
+              UNION ALL SELECT s.it + 1, n.id, n.c, (n.p * (2 * n.y - 1) + 0.01 * s.s) / (n.p + 0.01 * deg.deg + 0.001)
+              FROM (SELECT f.it, w.i, f.c, sum(w.w * f.f) AS s FROM f JOIN w ON w.j = f.id WHERE f.it < {_STEPS} GROUP BY 1, 2, 3) s JOIN n ON n.id = s.i AND n.c = s.c JOIN deg ON deg.id = n.id)
+        SELECT id, c::INTEGER AS class, round((f + 1) / 2, 6) AS score FROM f WHERE it = {_STEPS}""")
+def g4_general_steps(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    s = experiment.propagate(_pred(v), neighbours.knn(v, 5, "union"), CLASSES, _BANDWIDTH, method="general", steps=_STEPS)
+    return rounded(s.select("id", F.posexplode("scores").alias("class", "score")), "score")
+
+
+def _hard(spark, sf_dir):
+    """Known vectors keep their labels; twelve neighbours, so that each component has a known one."""
+    v = by_three(spark, sf_dir)
+    known = F.expr(_KNOWN)
+    nodes = v.select("dataset", "id", F.array(*[F.when(known & (F.col("label") == c), 1.0).otherwise(0.0) for c in CLASSES]).alias("y"), F.array(*[F.when(known, 1.0).otherwise(0.0) for _ in CLASSES]).alias("e"))
+    return nodes, graph.edge_weights(neighbours.knn(v, 12, "union"), _BANDWIDTH)
+
+
+@query()
+def g1_hard_labels(spark, sf_dir):
+    s = graph.solve_exact(*_hard(spark, sf_dir), "hard")
+    return rounded(s.select("dataset", "id", F.posexplode("scores").alias("class", "score")), "score")
+
+
+@query()
+def g2_class_mass(spark, sf_dir):
+    nodes, edges = _hard(spark, sf_dir)
+    s = graph.class_mass(graph.solve_exact(nodes, edges, "hard"), nodes)
+    return rounded(s.select("dataset", "id", F.posexplode("scores").alias("class", "score")), "score")
+
+
+@query()
+def g8_grid(spark, sf_dir):
+    v = by_three(spark, sf_dir)
+    edges = neighbours.knn(v, 5, "union")
+    truth = v.select("dataset", "id", "label")
+    cv = graph.train(_pred(v), edges, truth, CLASSES, {"bandwidth": [0.5, 1.0, 2.0, 4.0], "unary_weight": [1.0, 2.0]})
+    return rounded(metrics.grid_scores(cv, "bandwidth", "unary_weight"), "mean", "std")
+
+
+@query()
+def l1_classifier(spark, sf_dir):
+    v = vectors(spark, sf_dir)
+    model = classify.train(v.where("id % 2 = 0"), [1.0])
+    return rounded(classify.predict(model, v.where("id % 2 = 1"), CLASSES), *[f"prob{c}" for c in CLASSES], digits=4)
+
+
+@query()
+def e1_synthetic(spark, sf_dir):
+    meta, df = sampling.mixture(spark, 444, [1.0, 1.0, 1.0], [[0.0, 1.0, 2.0], [0.0, 2.0, 4.0]], [[1.0, 1.0, 1.0], [0.5, 0.5, 0.5]], 1, 1, seed=7)
+    out = experiment.synthetic(df.checkpoint() if spark.conf.get("spark.checkpoint.dir", None) else df, meta, [1.0])
+    side = lambda k: out[k].select(F.lit(k).alias("step"), "sample_acc", "label_acc")
+    return rounded(side("classifier").unionByName(side("propagated")), "sample_acc", "label_acc", digits=4)
+
+
+# ---- rasters: vectors as images of 8 by 8, their positive pixels as masks
+
+_PIXELS = "p AS (SELECT vec_id AS id, k // 8 AS y, k % 8 AS x, embedding[1 + k] > 0 AS v, embedding[1 + k]::DOUBLE AS g FROM embeddings, (SELECT unnest(range(64)) AS k))"
+
+
+def _masks(spark, sf_dir):
+    return vectors(spark, sf_dir).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.transform(F.slice("features", r * 8 + 1, 8), lambda x: x > 0)).alias("mask"))
+
+
+_DIFFERS = " OR ".join(f"coalesce(v <> {f}(v) OVER {w}, false)" for f in ("lag", "lead") for w in "rc")
+
+
+@query(f"""WITH {_PIXELS}, q AS (SELECT id, v AND ({_DIFFERS}) AS e FROM p WINDOW r AS (PARTITION BY id, y ORDER BY x), c AS (PARTITION BY id, x ORDER BY y))
+    SELECT id, sum(e::INTEGER)::BIGINT AS n FROM q GROUP BY id""")
+def i3_perimeter(spark, sf_dir):
+    edge = F.flatten(raster.perimeter(F.col("mask")))
+    return _masks(spark, sf_dir).select("id", F.size(F.filter(edge, lambda x: x)).cast("long").alias("n"))
+
+
+@query(f"WITH {_PIXELS} SELECT id, 'column' AS axis, x::INTEGER AS k, round(avg(g), 6) AS mean FROM p GROUP BY ALL UNION ALL SELECT id, 'row', y::INTEGER, round(avg(g), 6) FROM p GROUP BY ALL")
+def a21_projections(spark, sf_dir):
+    v = vectors(spark, sf_dir).select("id", F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("features", r * 8 + 1, 8)).alias("image"))
+    side = lambda axis, c: v.select("id", F.lit(axis).alias("axis"), F.posexplode(c).alias("k", "mean"))
+    return rounded(side("column", kernels.column_means(F.col("image"))).unionByName(side("row", kernels.row_means(F.col("image")))), "mean")
+
+
+@query()
+def i1_area_open(spark, sf_dir):
+    m = _masks(spark, sf_dir).select("id", "mask", raster.area_open(F.col("mask"), 4).alias("open"), raster.component_areas(F.col("mask")).alias("areas"))
+    pixels = lambda c: F.size(F.filter(F.flatten(c), lambda x: x))
+    return m.select("id", pixels(F.col("mask")).alias("before"), pixels(F.col("open")).alias("after"), F.array_join(F.col("areas").cast("array<string>"), ",").alias("areas"))

@@ -1 +1 @@
-
+"""Nothing is streamed: all inputs of the engine are complete tables. Expressions in functions/ also work on streams."""
