@@ -70,13 +70,13 @@ def solve_exact(nodes: DataFrame, edges: DataFrame, method: str = "harmonic", **
 
     def run(v: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(v):
-            return pd.DataFrame({"dataset": [], "id": [], "scores": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "id", "scores")})
         if len(v) > DENSE:
             raise ValueError(f"{len(v)} nodes in one dataset: use iterate()")
         at = pd.Series(range(len(v)), index=v["id"])
         i, j = at.reindex(g["i"]).to_numpy(), at.reindex(g["j"]).to_numpy()
         f = dense(len(v), i.astype(int), j.astype(int), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, **params)
-        return pd.DataFrame({"dataset": v["dataset"], "id": v["id"], "scores": list(f)})
+        return pd.DataFrame({"dataset": v["dataset"].astype(object), "id": v["id"].astype(object), "scores": list(f)})
 
     return nodes.groupBy("dataset").cogroup(edges.select("dataset", "i", "j", "w").groupBy("dataset")).applyInPandas(run, f"{kinds}, scores array<double>")
 
@@ -158,7 +158,7 @@ def train(pred: DataFrame, distances: DataFrame, truth: DataFrame, classes: list
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame({"dataset": [], "point": [], "bandwidth": [], "unary_weight": [], "score": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "point", "bandwidth", "unary_weight", "score")})
         at = pd.Series(range(len(p)), index=p["id"])
         uw = p["unary_weight"].iloc[0]
         y = np.stack([p["pred"].to_numpy() == c for c in classes], 1).astype(float)

@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 #: Rows of a block that are compared with another block's at a time.
 BLOCK = 1024
+#: Keeps the deal of blocks apart from samples that were drawn by the plain hash of the id.
+_SALT = 77
 
 
 def block_pairs(left: DataFrame, right: DataFrame, by: str, key: str, blocks: int) -> DataFrame:
     """Every row of left beside every row of right of the same `by`, columns prefixed a_ and b_."""
-    block = lambda df: F.pmod(F.xxhash64(df[key]), F.lit(blocks)).cast("int")
+    block = lambda df: F.pmod(F.xxhash64(F.lit(_SALT), df[key]), F.lit(blocks)).cast("int")
     each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = left.select(F.col(by).alias("_by"), block(left).alias("_i"), each.alias("_j"), *[F.col(c).alias(f"a_{c}") for c in left.columns])
     b = right.select(F.col(by).alias("_by"), each.alias("_i"), block(right).alias("_j"), *[F.col(c).alias(f"b_{c}") for c in right.columns])
@@ -61,7 +63,7 @@ def _nearest_of_blocks(k: int):
     def run(p: pd.DataFrame) -> pd.DataFrame:
         a, b = p[p["side"] == 0].sort_values("id"), p[p["side"] == 1].sort_values("id")
         if not len(a) or not len(b):
-            return pd.DataFrame({"dataset": [], "i": [], "j": [], "d": []})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "i", "j", "d")})
         x, y, j = np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()), b["id"].to_numpy()
         rows, m = [], min(k, len(b))
         for lo in range(0, len(x), 64):
@@ -85,7 +87,7 @@ def knn(df: DataFrame, k: int = 5, symmetric: str | None = None, blocks: int = 4
     """
     kind = df.schema["dataset"].dataType.simpleString()
     df = df.select("dataset", F.col("id").cast("long").alias("id"), "features")
-    own, each = F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+    own, each = F.pmod(F.xxhash64(F.lit(_SALT), F.col("id")), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
     a = df.select("dataset", own.alias("_i"), each.alias("_j"), F.lit(0).alias("side"), "id", "features")
     b = df.select("dataset", each.alias("_i"), own.alias("_j"), F.lit(1).alias("side"), "id", "features")
     part = a.unionByName(b).groupBy("dataset", "_i", "_j").applyInPandas(_nearest_of_blocks(k), f"dataset {kind}, i long, j long, d double")
