@@ -151,10 +151,10 @@ def average_curve(curves: DataFrame, x: str, y: str, by: str, n: int = 1000) ->
     at = lambda c: c * (n - 1)
     lo = F.when(F.col("first"), 0).otherwise(F.floor(at(F.col("x0"))).cast("int") + 1)
     hi = F.when(F.col("last"), n - 1).otherwise(F.least(F.floor(at(F.col("x1"))).cast("int"), F.lit(n - 1)))
-    g = pieces.withColumn("k", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
-    px = F.col("k") / F.lit(n - 1)
+    g = pieces.withColumn("_k", F.explode(F.when(lo <= hi, F.sequence(lo, hi)).otherwise(F.array().cast("array<int>"))))
+    px = F.col("_k") / F.lit(n - 1)
     value = F.when(px <= F.col("x0"), F.col("y0")).when(F.col("last"), F.col("y0")).otherwise(F.col("y0") + (F.col("y1") - F.col("y0")) * (px - F.col("x0")) / (F.col("x1") - F.col("x0")))
-    return g.groupBy(by, "k").agg(F.min_by(value, F.col("x0")).alias("v")).groupBy("k").agg(F.avg("v").alias(y)).select((F.col("k") / F.lit(n - 1)).alias(x), y)
+    return g.groupBy(by, "_k").agg(F.min_by(value, F.col("x0")).alias("v")).groupBy("_k").agg(F.avg("v").alias(y)).select((F.col("_k") / F.lit(n - 1)).alias(x), y)
 
 
 def grid_scores(cv: DataFrame, *params: str) -> DataFrame:
