@@ -228,7 +228,8 @@ def count_tokens(docs: DataFrame, model: str, chunk_chars: int = 1 << 20) -> Dat
     at = F.explode(F.sequence(F.lit(0), F.floor((F.length("text") - 1) / chunk_chars).cast("int")))
     cut = (
         rows.where(long)
-        .select(F.struct("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth")).alias("row"), "n_bytes", "text", at.alias("k"))
+        .select(F.struct("doc_id", F.xxhash64("text").alias("hash"), F.monotonically_increasing_id().alias("nth")).alias("row"), "n_bytes", "text")  # before the rows are exploded, so that a document's chunks share it
+        .select("row", "n_bytes", "text", at.alias("k"))
         .select("row", "n_bytes", "k", F.substring("text", F.col("k") * chunk_chars + 1, F.lit(chunk_chars)).alias("part"))
         .repartition("row", "k")
         .mapInArrow(maps, f"row struct<doc_id:{kind},hash:long,nth:long>, n_bytes long, k int, head string, count long, tail string")
