@@ -7,7 +7,8 @@ import pytest
 ROOT = Path(__file__).resolve().parent.parent
 sys.path.insert(0, str(ROOT))
 os.environ["PYTHONPATH"] = os.pathsep.join([str(ROOT), os.environ.get("PYTHONPATH", "")])
-SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+sys.path.insert(0, str(ROOT / "tests"))
+from support import SF, rows  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -36,12 +37,6 @@ def duck():
     return c
 
 
-def rows(df):
-    """The rows of a pandas frame, columns by name, in an order of their own."""
-    df = df[sorted(df.columns)]
-    return sorted(repr(tuple("nan" if isinstance(x, float) and x != x else x for x in r)) for r in df.itertuples(index=False, name=None))
-
-
 @pytest.fixture(scope="session")
 def same(spark, duck):
     def check(name, queries, oracle):
