@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -26,9 +27,9 @@ from pyspark.sql import functions as F
 from .common import id_text
 
 #: Most labelled documents of each class that fitting reads, most terms it keeps, and words of a worker's memory.
-SAMPLE, TERMS, CACHE = 4000, 400, 1_500_000
-#: Shortest stem, least documents that support a term, least log-odds of a term, and of one that is kept beside others, least length for a misspelling.
-STEM, SUPPORT, ODDS, SURE, FUZZY = 4, 4, 3.0, 5.0, 5
+SAMPLE, TERMS, CACHE = 3000, 400, 1_500_000
+#: Shortest stem, least toxic documents that support a term, as a number and as a share of them, least log-odds of a term, and of one that is kept beside others, least length for a misspelling.
+STEM, SUPPORT, SHARE, ODDS, SURE, FUZZY = 4, 4, 0.01, 3.5, 5.0, 5
 _WORD = re.compile(r"\w+")
 _QUOTES = "\"'“”‘’«»„`"
 #: Words that report what another said, in the languages of the corpus; fixed values.
@@ -166,17 +167,40 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
 
+def _families(vocabulary: list[set[str]]) -> list[bool]:
+    """For each set of words, whether it is unlike all before it: near copies would pass a chance word off as a term.
+
+    Two sets are alike if three of eight least hashes agree.
+    """
+    rng = np.random.default_rng(8)
+    salts = [(int(a) | 1, int(b)) for a, b in rng.integers(0, 2**32, (8, 2))]
+    seen: dict[tuple[int, int], int] = {}
+    out = []
+    for k, words in enumerate(vocabulary):
+        h = np.array([zlib.crc32(w.encode()) for w in words] or [k], np.uint64)
+        least = [(i, int((((h ^ np.uint64(b)) * np.uint64(a)) & np.uint64(2**32 - 1)).min())) for i, (a, b) in enumerate(salts)]
+        votes = Counter(seen[x] for x in least if x in seen)
+        out.append(not votes or max(votes.values()) < 3)
+        for x in least:
+            seen.setdefault(x, k)
+    return out
+
+
 def learn_terms(texts: list[str], toxic: list[bool]) -> Model:
     """Words, or the shortest stems, that occur in toxic documents far more often than in the others."""
     counts = {True: Counter(), False: Counter()}
-    vocabulary = [set(_WORD.findall(t.lower())) for t in texts]
+    first = dict(zip([k for k, x in enumerate(toxic) if x], _families([set(_WORD.findall(t.lower())) for t, x in zip(texts, toxic) if x])))
+    texts, toxic = [t for k, t in enumerate(texts) if first.get(k, True)], [x for k, x in enumerate(toxic) if first.get(k, True)]
+    one: dict[str, str] = {}  # each word once in memory
+    vocabulary = [{one.setdefault(w, w) for w in _WORD.findall(t.lower())} for t in texts]
     n = {x: sum(t == x for t in toxic) for x in (True, False)}
     whole = Counter()
     for words, x in zip(vocabulary, toxic):
         if x:
             whole.update(words)
             counts[True].update({w[:k] for w in words for k in range(STEM, min(len(w), 12) + 1)})
-    maybe = {p for p, c in counts[True].items() if c >= SUPPORT}
+    support = max(SUPPORT, SHARE * n[True])
+    maybe = {p for p, c in counts[True].items() if c >= support}
     for words, x in zip(vocabulary, toxic):
         if not x:
             counts[False].update({p for w in words for k in range(STEM, min(len(w), 12) + 1) if (p := w[:k]) in maybe})
@@ -188,11 +212,11 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> Model:
     good = {p: o for p in maybe if (o := odds(p)) >= ODDS}
     has = [{p for w in words for k in range(STEM, min(len(w), 12) + 1) if (p := w[:k]) in good} for words, x in zip(vocabulary, toxic) if x]
     gain, cover = Counter(p for d in has for p in d), [0] * len(has)
-    strong = max(SUPPORT, 0.025 * n[True])
+    strong = max(support, 0.025 * n[True])
     terms: dict[str, bool] = {}
     while len(terms) < TERMS and gain:
         p = max(gain, key=lambda p: (gain[p], len(p), p))  # of equal ones the longest
-        if gain[p] < SUPPORT:
+        if gain[p] < support:
             break
         best = max((w for w in whole if w.startswith(p)), key=lambda w: (whole[w], -len(w), w), default=p)
         terms[best if whole[best] >= 0.9 * counts[True][p] else p] = whole[best] < 0.9 * counts[True][p]
