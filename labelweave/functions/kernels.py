@@ -21,15 +21,18 @@ def mean(a: Column) -> Column:
     return total(a) / F.nullif(F.size(a), F.lit(0))
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f of value, which is evaluated once however often f uses it; inside a lambda Spark shares no expressions."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def std(a: Column) -> Column:
     """Population standard deviation."""
-    m = mean(a)
-    return F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.nullif(F.size(a), F.lit(0)))
+    return let(mean(a), lambda m: F.sqrt(total(F.transform(a, lambda x: (x - m) * (x - m))) / F.nullif(F.size(a), F.lit(0))))
 
 
 def standardise(a: Column) -> Column:
-    m, s = mean(a), F.greatest(std(a), F.lit(1e-20))
-    return F.transform(a, lambda x: (x - m) / s)
+    return let(F.struct(mean(a).alias("m"), F.greatest(std(a), F.lit(1e-20)).alias("s")), lambda p: F.transform(a, lambda x: (x - p["m"]) / p["s"]))
 
 
 def squared_euclidean(a: Column, b: Column) -> Column:
@@ -66,7 +69,8 @@ def weighted_jaccard(a: Column, b: Column) -> Column:
 
 def ncc(a: Column, b: Column) -> Column:
     """Mean product of two standardised arrays; 1 if both are constant."""
-    return F.when((std(a) == 0) & (std(b) == 0), 1.0).otherwise(dot(a, b) / F.size(a))
+    constant = lambda c: F.array_min(c) == F.array_max(c)
+    return F.when(constant(a) & constant(b), 1.0).otherwise(dot(a, b) / F.size(a))
 
 
 #: Measures by name; those of NORMALISED standardise their arguments first.
@@ -75,8 +79,8 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
     "NSSD": squared_euclidean,
     "NCClog": lambda a, b: -F.log((ncc(a, b) + 1) / 2 + 1e-10),
     "NCCone": lambda a, b: (1 - ncc(a, b)) / 2,
-    "NCCplus": lambda a, b: F.when(ncc(a, b) > 0, 1 - ncc(a, b)).otherwise(0.0),
-    "NCCplusok": lambda a, b: F.when(ncc(a, b) > 0, 1 - ncc(a, b)).otherwise(1.0),
+    "NCCplus": lambda a, b: let(ncc(a, b), lambda n: F.when(n > 0, 1 - n).otherwise(0.0)),
+    "NCCplusok": lambda a, b: let(ncc(a, b), lambda n: F.when(n > 0, 1 - n).otherwise(1.0)),
     "Jaccard": weighted_jaccard,
     "NJaccard": weighted_jaccard,
     "cosine": cosine,
@@ -123,8 +127,9 @@ def image_distance(a: Column, b: Column, measure: str, rotations: bool = False)
         tries = {k: norm(F.flatten(r)) for k, r in {"I": b, "V": F.reverse(b), "H": mirrored, "X": F.reverse(mirrored)}.items()}
     if not rotations:
         tries = {"I": tries["I"]}
-    best = F.array_min(F.array(*[F.struct(f(left, r).alias("d"), F.lit(k).alias("flip")) for k, r in tries.items()]))
-    return F.struct(F.greatest(best["d"], F.lit(0.0)).alias("d"), best["flip"].alias("flip"))
+    sides = F.struct(left.alias("left"), *[r.alias(k) for k, r in tries.items()])
+    best = let(sides, lambda s: F.array_min(F.array(*[F.struct(f(s["left"], s[k]).alias("d"), F.lit(k).alias("flip")) for k in tries])))
+    return let(best, lambda x: F.struct(F.greatest(x["d"], F.lit(0.0)).alias("d"), x["flip"].alias("flip")))
 
 
 def _same_length(a: Column, b: Column, c: Column) -> Column:

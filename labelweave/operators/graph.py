@@ -95,6 +95,7 @@ def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int, method
     a few steps and the plan stays short.
     """
     cs = range(classes)
+    edges = _kept(edges.select("dataset", "i", "j", "w"))  # every step reads them
     deg = edges.groupBy("dataset", F.col("i").alias("id")).agg(F.sum("w").alias("deg"))
     state = nodes.select("dataset", "id", *[F.col("y")[c].alias(f"y{c}") for c in cs], *[F.col("e")[c].alias(f"e{c}") for c in cs]).join(deg, ["dataset", "id"], "left").fillna(0.0, ["deg"])
     state = state.withColumns({f"f{c}": F.when(F.col(f"e{c}") > 0, F.col(f"y{c}")).otherwise(0.0) if method == "hard" else F.lit(0.0) for c in cs})
