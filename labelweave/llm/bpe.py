@@ -1,7 +1,8 @@
 """Byte-level BPE by a global shuffle of distinct words, and decoding by a join with the token-byte table.
 
 1. Documents are read in chunks. Each chunk lists its distinct pre-tokens with their positions in that list, and each
-   document as positions; the table is written, so that both later uses read the same chunks.
+   document as positions; the table is written, so that both later uses read the same chunks, in buckets, so that the
+   documents' positions need no shuffle.
 2. The lists are exploded and dealt out by pre-token, so all occurrences of one meet, sorted, and it is encoded once in
    the whole job. A very frequent word comes once from each chunk, not once for each use, so no task gets more than others.
 3. The ids go back to their chunks, where each document is put together by position.
@@ -22,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import id_text, segment_keys, segment_of, written
+from .common import bucketed, id_text, segment_keys, segment_of
 
 #: Characters of a chunk (a longer document is a chunk by itself), and rows that the encoder packs together.
 CHUNK, PACK = 32_000_000, 400_000
@@ -47,7 +48,7 @@ def _squeeze(a) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(np.asarray(a, np.uint32)).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=1).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
 
 
 def _spread(b: bytes) -> np.ndarray:
@@ -81,15 +82,22 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, kind: pa.DataType)
     def flush() -> pa.RecordBatch:
         nonlocal seq, size
         words: dict[str, int] = {}
-        flat, n = [], []
-        for k in keys:
-            alone = k.isalpha()  # letters behind a space: one pre-token
-            parts = (" " + k,) if alone else split(segment_of(k))
+        flat, n, names = [], [], list(keys)
+        whole = np.concatenate(stream) if stream else np.empty(0, np.uint32)
+        order = np.argsort(-np.bincount(whole, minlength=len(names)), kind="stable")  # frequent segments get small numbers, which pack well
+        rank = np.empty(len(names), np.uint32)
+        rank[order] = np.arange(len(names), dtype=np.uint32)
+        for k in map(names.__getitem__, order):
+            parts = (" " + k,) if k.isalpha() else split(segment_of(k))  # letters behind a space are one pre-token
             n.append(len(parts))
-            flat += [words.setdefault(w, len(words)) for w in parts]
+            for w in parts:  # 0 stands for a pre-token that comes for the first time
+                known = words.get(w)
+                flat.append(0 if known is None else known + 1)
+                if known is None:
+                    words[w] = len(words)
         one = pa.RecordBatch.from_arrays([
             pa.array([(task << 12) + seq], pa.int64()), pa.array([list(words)], pa.list_(pa.string())), pa.array([_squeeze(flat)], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
-            pa.array([ids], pa.list_(kind)), pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(np.concatenate(stream) if stream else [])], pa.binary())],
+            pa.array([ids], pa.list_(kind)), pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(rank[whole])], pa.binary())],
             ["chunk", "words", "part", "parts", "doc_ids", "lengths", "stream"])
         seq, size = seq + 1, 0
         for x in (ids, lengths, stream, keys):
@@ -165,11 +173,11 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     kind, name = to_arrow_type(field), field.simpleString()
     chunks = id_text(docs).mapInArrow(
         lambda b: _chunks(b, pattern, kind), f"chunk long, words array<string>, part binary, parts binary, doc_ids array<{name}>, lengths binary, stream binary")
-    chunks = written(chunks, "chunks")
+    chunks = bucketed(chunks.withColumn("vocabulary", F.lit(rank_file)), "chunks", "chunk")
     words = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).select((F.shiftleft("chunk", _POS) + F.col("pos")).alias("place"), "word")
     back = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encoded(b, rank_file, pattern), "chunk long, pos binary, n binary, ids binary")
     packs = back.groupBy("chunk").agg(F.collect_list(F.struct("pos", "n", "ids")).alias("packs"))
-    whole = chunks.drop("words").join(packs, "chunk", "left").withColumn("vocabulary", F.lit(rank_file))
+    whole = chunks.drop("words").join(packs, "chunk", "left")
     whole = whole.join(F.broadcast(token_bytes(spark, rank_file, rank_file)), "vocabulary")
     cols = ["part", "parts", "doc_ids", "lengths", "stream", "packs", "tokens"]
     return whole.select(*cols).mapInArrow(lambda b: _assembled(b, kind), f"doc_id {name}, ids array<int>, decoded binary")
@@ -185,7 +193,8 @@ def _assembled(batches: Iterator[pa.RecordBatch], kind: pa.DataType) -> Iterator
             each = np.concatenate([_spread(p["n"]) for p in packs]) if pos else np.empty(0, np.int64)
             flat = np.concatenate([_spread(p["ids"]) for p in packs]) if pos else np.empty(0, np.uint32)
             word_ids, word_n = _ragged(flat, each, order)  # by position in the chunk's list
-            part, parts = _spread(row["part"].as_py()), _spread(row["parts"].as_py())
+            part, parts = _spread(row["part"].as_py()).astype(np.int64) - 1, _spread(row["parts"].as_py())
+            part[part < 0] = np.arange((part < 0).sum())
             key_ids, _ = _ragged(word_ids, word_n, part)
             key_n = np.add.reduceat(np.concatenate([word_n[part], [0]]), np.concatenate([[0], np.cumsum(parts)[:-1]]).astype(np.int64)) if len(parts) else parts
             doc_ids, lengths, stream = row["doc_ids"].values, _spread(row["lengths"].as_py()).astype(np.int64), _spread(row["stream"].as_py())

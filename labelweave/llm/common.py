@@ -43,6 +43,15 @@ def written(df: DataFrame, what: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
+    """df written as a table bucketed by key in the shared folder: a join by key reads it where it lies and shuffles the other side alone."""
+    spark, own = df.sparkSession, uuid.uuid4().hex
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name, path = f"labelweave_{what}_{own}", f"{shared_dir(spark)}/{what}-{own}"
+    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
+    return spark.table(name)
+
+
 #: White space of the pre-token pattern (the Unicode property White_Space); fixed values.
 SPACES = "\t\n\x0b\x0c\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _ODD = re.compile(f" (?=[{SPACES}])| \\Z|\0")
