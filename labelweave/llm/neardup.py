@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .common import id_text, written
 
 #: Bands, registers in each, base of the registers, documents in a block, words whose hashes a worker keeps.
-BANDS, ROWS, BASE, BLOCK, CACHE = 40, 4, 1.001, 256, 1_500_000
+BANDS, ROWS, BASE, BLOCK, CACHE = 40, 4, 1.001, 256, 400_000
 #: A pair goes to the check if its estimate is at most so far below the threshold: over 4 standard deviations.
 MARGIN = 0.15
 _LEAST = -(2**63)
@@ -198,6 +198,8 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     members = written(members.join(reps, "node").join(active, "node"), "members")
     met = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
     met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n_shingles", "registers", "text")
+    # few bytes but much work: as many tasks as there are, not as few as their bytes need
+    met = met.repartition(4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cluster", "i", "j")
     more = met.groupBy("cluster", "i", "j").applyInPandas(lambda p: _met(p, percent, size), "a long, b long")
 
     # what joins components of the first pass; a component's name is one of its nodes, so these are links of nodes too
