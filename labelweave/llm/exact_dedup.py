@@ -25,8 +25,10 @@ def digests(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def grouped(digested: DataFrame) -> DataFrame:
-    """One row per digest: keep_id, the largest doc_id, and group_size."""
-    return digested.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).alias("group_size"))
+    """One row per digest: keep_id, the largest doc_id, group_size, and copies, how many rows have keep_id."""
+    rows = digested.groupBy("digest", "doc_id").agg(F.count(F.lit(1)).alias("n"))
+    best = rows.groupBy("digest").agg(F.max(F.struct("doc_id", "n")).alias("best"), F.sum("n").alias("group_size"))
+    return best.select("digest", F.col("best.doc_id").alias("keep_id"), "group_size", F.col("best.n").alias("copies"))
 
 
 class DigestIndex:
@@ -41,7 +43,7 @@ class DigestIndex:
         return self.spark.catalog.tableExists(self.name)
 
     def read(self) -> DataFrame:
-        """digest, keep_id, group_size, in the layout that needs no shuffle by digest."""
+        """digest, keep_id, group_size, copies, in the layout that needs no shuffle by digest."""
         return self.spark.table(self.name)
 
     def append(self, docs: DataFrame) -> None:
@@ -64,8 +66,16 @@ def dedup(docs: DataFrame, index: DigestIndex) -> DataFrame:
     if index.exists():
         kept = kept.hint("merge").join(index.read().select("digest"), "digest", "left_anti")
     kept = written(kept, "kept")
-    ids = kept.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest"))
-    out = marked.join(ids, (marked["_digest"] == ids["_digest"]) & marked["doc_id"].eqNullSafe(ids["_keep"]), "left_semi").select(*docs.columns)
+
+    def rows_of(some: DataFrame) -> DataFrame:
+        ids = some.select(F.col("keep_id").alias("_keep"), F.col("digest").alias("_digest"))
+        return marked.join(ids, (marked["_digest"] == ids["_digest"]) & marked["doc_id"].eqNullSafe(ids["_keep"]), "left_semi")
+
+    again = kept.where("copies > 1")
+    if again.isEmpty():
+        out = rows_of(kept).select(*docs.columns)
+    else:  # only rows that are repeated are brought together
+        out = rows_of(kept.where("copies = 1")).unionByName(rows_of(again).dropDuplicates(["doc_id", "_digest"])).select(*docs.columns)
     kept.repartition(index.buckets, "digest").write.mode("append").bucketBy(index.buckets, "digest").sortBy("digest").option("path", index.path).option("compression", "zstd").format("parquet").saveAsTable(index.name)
     return out
 
@@ -74,6 +84,9 @@ def groups(docs: DataFrame) -> DataFrame:
     """For every row of docs: doc_id, keep_id, group_size, kept, text_sha256, by way of a new index."""
     index = DigestIndex(docs.sparkSession)
     index.append(docs)
-    rows = digests(docs)
-    return rows.join(index.rows(), "digest", "left").select(
-        "doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
+    best = F.col("doc_id").eqNullSafe(F.col("keep_id"))
+    rows = digests(docs).join(index.rows(), "digest", "left").where(~best | (F.col("copies") == 1)).withColumn("kept", best)
+    flags = F.concat(F.array(F.lit(True)), F.array_repeat(F.lit(False), F.col("copies").cast("int") - 1))
+    again = index.rows().where("copies > 1").select("digest", F.col("keep_id").alias("doc_id"), "keep_id", "group_size", F.explode(flags).alias("kept"))  # repetitions of a kept row
+    out = ["doc_id", "keep_id", "group_size", "kept", F.lower(F.hex("digest")).alias("text_sha256")]
+    return rows.select(*out).unionByName(again.select(*out))

@@ -150,6 +150,23 @@ def test_exact_dedup_edges(spark, odd_docs, no_docs):
     assert exact_dedup.groups(no_docs).count() == 0
 
 
+def test_repeated_rows_stay_once(spark, duck):
+    """Rows of one id and text: both give what the SQL gives, one kept row a text; also where ids are null."""
+    rows = [(1, "a", "x"), (4, "a", "y"), (4, "a", "y"), (4, "a", "z"), (5, "b", "x"), (None, "c", "x"), (None, "c", "x"), (None, None, "x"), (6, "", "x"), (6, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    out = exact_dedup.groups(docs)
+    kept = sorted((r["doc_id"] or 0, r["text_sha256"]) for r in out.where("kept").collect())
+    assert kept == sorted([(4, sha("a")), (5, sha("b")), (0, sha("c")), (6, sha(""))]) and out.count() == len(rows)
+    assert {r["doc_id"]: r["group_size"] for r in out.collect()}[4] == 4
+    single = exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark))
+    assert single.columns == docs.columns and sorted((r["doc_id"] or 0, r["text"] or "") for r in single.collect()) == [(0, "c"), (4, "a"), (5, "b"), (6, "")]
+    whole = duck.cursor()
+    values = ", ".join(f"({'NULL' if i is None else i}::BIGINT, {'NULL' if t is None else repr(t)})" for i, t, _ in rows if i is not None)
+    sql = f"WITH documents(doc_id, text) AS (VALUES {values}) {catalogue.ORACLE['op4_exact_dedup']}"
+    got = exact_dedup.groups(docs.where("doc_id is not null")).select("doc_id", "keep_id", "group_size", "kept", "text_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(whole.sql(sql).fetchall())
+
+
 def test_index_persists(spark, tmp_path):
     index = exact_dedup.DigestIndex(spark, f"file://{tmp_path}/index", "persisted_digests")
     batch = lambda *t: spark.createDataFrame([(i, x) for i, x in t], "doc_id long, text string")
