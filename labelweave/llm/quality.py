@@ -4,7 +4,8 @@ The cumulative-link model says P(grade > k) = 1 / (1 + exp(threshold_k - w.x)) f
 grades, with one w and thresholds that rise. It yields the expected grade and the probability of the tail from a chosen
 grade on, by which documents are selected. x holds relative frequencies of hashed byte trigrams and a few shape figures.
 
-Fitting reads a bounded, hash-ordered sample of rated documents; with two grades the model is a logistic regression.
+Fitting reads a bounded, hash-ordered sample of rated documents, in which each grade weighs as much as all its rated
+documents; with two grades the model is a logistic regression.
 Scoring shuffles nothing and reads whole texts. Null or empty text: x is 0, the score follows from the thresholds.
 Repeated rows are scored alike.
 """
@@ -50,8 +51,11 @@ class Model:
         return 1 / (1 + np.exp(np.clip(self.thresholds - self.weights[at] @ value, -40, 40)))
 
 
-def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], ridge: float = 1e-3, rounds: int = 150, rate: float = 0.3) -> Model:
-    """Likelihood of the grades by Adam; thresholds are a first one and positive gaps, so they stay in order."""
+def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], ridge: float = 1e-3, rounds: int = 150, rate: float = 0.3, weights: list[float] | None = None) -> Model:
+    """Likelihood of the grades by Adam; thresholds are a first one and positive gaps, so they stay in order.
+
+    weights: for how many documents each row stands, one if not given.
+    """
     levels = sorted(set(grades))
     y = np.searchsorted(levels, grades)
     k = len(levels) - 1
@@ -60,7 +64,9 @@ def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rid
     row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
     p = np.zeros(DIMS + SHAPES + k)  # weights, first threshold, logs of the gaps
-    share = np.array([(y > j).mean() for j in range(k)])
+    part = np.ones(len(y)) if weights is None else np.array(weights, float)
+    part /= part.sum()
+    share = np.array([(y > j) @ part for j in range(k)])
     start = np.log((1 - share) / share)
     p[DIMS + SHAPES] = start[0]
     p[DIMS + SHAPES + 1 :] = np.log(np.maximum(np.diff(start), 1e-2))
@@ -75,10 +81,10 @@ def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rid
         i = np.arange(len(y))
         like = np.maximum(upper[i, y] - upper[i, y + 1], 1e-9)
         slope = np.concatenate([np.zeros((len(y), 1)), over * (1 - over), np.zeros((len(y), 1))], 1)
-        dz = -(slope[i, y] - slope[i, y + 1]) / like / len(y)
+        dz = -(slope[i, y] - slope[i, y + 1]) / like * part
         d_theta = np.zeros(k)
         for j in range(k):  # a threshold bears on the grades on either side of it
-            d_theta[j] = (np.where(y == j + 1, slope[:, j + 1], 0) - np.where(y == j, slope[:, j + 1], 0)) @ (1 / like) / len(y)
+            d_theta[j] = (np.where(y == j + 1, slope[:, j + 1], 0) - np.where(y == j, slope[:, j + 1], 0)) @ (part / like)
         g = np.concatenate([np.bincount(at, dz[row] * value, DIMS + SHAPES) + ridge * p[: DIMS + SHAPES], [d_theta.sum()], np.cumsum(d_theta[::-1])[::-1][1:] * gaps])
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         p -= rate / (1 + t / 50) * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
@@ -87,16 +93,18 @@ def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rid
 
 
 def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from ratings (doc_id, grade): at most `sample` documents of each grade, in an order by hash; a repeated rating counts with its highest grade."""
+    """Model from ratings (doc_id, grade): at most `sample` documents of each grade, in an order by hash, weighed by how many it stands for; a repeated rating counts with its highest grade."""
     named = ratings.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").cast("int").alias("grade"))
     chosen: list = []
-    for (g,) in named.select("grade").distinct().collect():
-        chosen += named.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+    stands: dict[int, float] = {}
+    for g, n in named.groupBy("grade").count().collect():
+        some = named.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
+        chosen, stands[g] = chosen + some, n / max(1, len(some))
     ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "_id long, _grade int")
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "_grade").collect()
     rows.sort(key=lambda r: r[0])
-    return fit_sparse([features(r[1]) for r in rows], [r[2] for r in rows])
+    return fit_sparse([features(r[1]) for r in rows], [r[2] for r in rows], weights=[stands[r[2]] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, at_least: int | None = None) -> DataFrame:

@@ -230,12 +230,13 @@ def learn_terms(texts: list[str], toxic: list[bool]) -> Model:
     return Model(terms, {p: good.get(p, ODDS) for p in terms})
 
 
-def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50) -> list[float]:
-    """Logistic regression by Newton steps, the classes as frequent as they are."""
+def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 50, stands: np.ndarray | None = None) -> list[float]:
+    """Logistic regression by Newton steps, the classes as frequent as they are; stands: for how many documents each row stands."""
     w = np.zeros(x.shape[1])
+    n = np.ones(len(y)) if stands is None else stands
     for _ in range(rounds):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
-        step = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (p - y) + ridge * w)
+        step = np.linalg.solve(x.T @ (x * (n * p * (1 - p))[:, None]) + ridge * np.eye(len(w)), x.T @ (n * (p - y)) + ridge * w)
         w = w - step
         if np.abs(step).max() < 1e-8:
             break
@@ -243,7 +244,8 @@ def fit_weights(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int =
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """Model from rows of labels (doc_id, toxic 0 or 1) and the documents they name: at most `sample` of each class, in an order by hash.
+    """Model from rows of labels (doc_id, toxic 0 or 1) and the documents they name: at most `sample` of each class, in an order by hash,
+    weighed in the regression by how many labelled documents of the class each stands for.
 
     The sampled ids are at most 2 * sample and so can be broadcast; their texts, as many, come to the driver.
     """
@@ -252,13 +254,16 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     for x in (True, False):
         part = named.where((F.col("toxic") >= 1) if x else (F.col("toxic") < 1)).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         some = part if some is None else some.unionByName(part)
-    ids = docs.sparkSession.createDataFrame([(r[0], r[1] >= 1) for r in some.select("doc_id", "toxic").collect()], "_id long, _toxic boolean")
+    chosen = [(r[0], r[1] >= 1) for r in some.select("doc_id", "toxic").collect()]
+    size = {bool(x): n for x, n in named.groupBy(F.col("toxic") >= 1).count().collect()}
+    stands = {x: size.get(x, 0) / max(1, sum(t == x for _, t in chosen)) for x in (True, False)}
+    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _toxic boolean")
     rows = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").dropDuplicates(["doc_id"]).collect()
     rows.sort(key=lambda r: r[0])
     texts, toxic = [r[1] for r in rows], [bool(r[2]) for r in rows]
     model = learn_terms(texts, toxic)
     x = np.array([model.features(t) for t in texts]).reshape(len(texts), 7)
-    model.weights = fit_weights(x, np.array(toxic, float)) if 0 < sum(toxic) < len(toxic) else [-5.0] + [0.0] * 6
+    model.weights = fit_weights(x, np.array(toxic, float), stands=np.array([stands[t] for t in toxic])) if 0 < sum(toxic) < len(toxic) else [-5.0] + [0.0] * 6
     return model
 
 

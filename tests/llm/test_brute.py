@@ -96,6 +96,15 @@ def test_quality_holds_out(spark):
     assert hits > 0.7
 
 
+def test_a_capped_sample_keeps_the_shares_of_grades(spark):
+    """Texts that tell nothing of their grade: the probability is the share of the grade, whatever the cap."""
+    docs = spark.createDataFrame([(i, "one and the same text") for i in range(600)], "doc_id long, text string")
+    ratings = spark.createDataFrame([(i, int(i % 6 == 0) + int(i % 12 == 0)) for i in range(600)], "doc_id long, grade int")
+    full, capped = quality.fit(docs, ratings), quality.fit(docs, ratings, sample=40)
+    tails = lambda m: m.tails("one and the same text")
+    assert np.allclose(tails(full), [1 / 6, 1 / 12], atol=0.02) and np.allclose(tails(capped), tails(full), atol=0.01)
+
+
 def test_quality_edges(spark, odd_docs, no_docs):
     m = quality.fit_sparse([quality.features("aaa bbb"), quality.features("!!! ???")], [0, 1])
     assert quality.score(odd_docs, m).count() == odd_docs.count() and quality.score(no_docs, m).count() == 0
@@ -382,6 +391,14 @@ def test_toxicity_holds_out(spark):
     assert n.get((1, 1), 0) > 0.85 * (n.get((1, 1), 0) + n.get((1, 0), 0)) and n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
+def test_a_capped_sample_keeps_the_shares_of_classes(spark):
+    """Texts that tell nothing of their class: the score is the share of toxic ones, whatever the cap."""
+    docs = spark.createDataFrame([(i, "a plain remark here") for i in range(1600)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(1600)], "doc_id long, toxic int")
+    full, capped = toxicity.fit(docs, labels), toxicity.fit(docs, labels, sample=100)
+    assert np.allclose([full.score("a plain remark here"), capped.score("a plain remark here")], 1 / 8, atol=0.01)
+
+
 def test_toxicity_edges(spark, odd_docs, no_docs):
     m = toxicity.fit(no_docs, spark.createDataFrame([], "doc_id long, toxic int"))
     assert toxicity.score(odd_docs, m).where("score between 0 and 0.5").count() == odd_docs.count()
