@@ -38,12 +38,23 @@ def _either_case(word: str) -> str:
     return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
 
 
+#: A private key from its BEGIN line to its END line, or, without one before the next BEGIN line, over the header fields and the base64 that follow: lines
+#: of nothing else, and words of 40 letters or more. Line ends may be escaped; lines may be indented, quoted or marked as comments.
+_GAP = r"""(?:\\++[nrt]?|[\s"'>#*|,;+]|//\x20)*+"""
+_LINE_END = r"""(?=["',;+\x20\t]*+(?:\n|\r|\\|\Z))"""
+_FIELD = r"(?:Proc-Type|DEK-Info|Key-Info|Content-Domain|Comment|Version):[^\n\\]*+"
+_BASE64 = rf"(?:[A-Za-z0-9+/=]{{40,}}+|[A-Za-z0-9+/=]++{_LINE_END})"
+_PEM = (
+    r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"
+    r"(?:[^-]*+(?:-(?!----(?:BEGIN |END [A-Z ]{0,40}PRIVATE KEY-----))[^-]*+)*+-----END [A-Z ]{0,40}PRIVATE KEY-----"
+    rf"|(?:{_GAP}(?:{_FIELD}|{_BASE64}))*+)"
+)
 #: In the order in which spans that start together are listed.
 RULES = (
     Rule("assign", "(" + "|".join(map(_either_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, ("password", "passwd", "secret", "token", "apikey", "api_key")),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, ("akia",)),
     Rule("hex", r"[0-9a-f]{24,}", 0, 24),
-    Rule("pem", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----", 0, 1, ("private key",)),
+    Rule("pem", _PEM, 0, 1, ("private key",)),
     Rule("github", r"gh[pousr]_[A-Za-z0-9]{36,}", 0, 40, ("gh",)),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}", 0, 1, ("eyj",)),
 )

@@ -204,6 +204,30 @@ def test_base_rules():
         assert [x for x in secrets.scan_text(t) if x[0] in secrets.BASE] == base(t), t
 
 
+def test_no_part_of_a_pem_key_survives(spark):
+    r = random.Random(11)
+    key = ["".join(r.choice("ABCxyz019+/") for _ in range(64)) for _ in range(25)] + ["Qm9keQ=="]
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    fields = ["Proc-Type: 4,ENCRYPTED", "DEK-Info: AES-128-CBC,0123456789ABCDEF", ""]
+    forms = [sep.join([begin, *head, *key, *tail]) for sep in ("\n", "\r\n", "\n    ", "\n> ", "\n# ", "\\n", "\\r\\n", '\\n" +\n  "') for head in ([], fields) for tail in ([end], [])]
+    forms += [" ".join([begin, *key, end]), begin + "".join(key) + end, " ".join([begin, *key[:-1]]), "\n".join([begin, *key[:3], key[3][:7]])]
+    rows = [(k, f"Here it is:\n{f}\nAnd so the text goes on.\n") for k, f in enumerate(forms)]
+    # another block between: each key goes, the text between them stays
+    rows += [(len(rows), f"{begin}\n{key[0]}\nkept one, kept two\n{forms[0]}\nkept three")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    ledger = secrets.Ledger(spark)
+    ledger.scan(docs)
+    out = {x["doc_id"]: x["t"] for x in ledger.findings(docs, "doc_id", "text").select("doc_id", secrets.masked(F.col("text"), F.col("findings")).alias("t")).collect()}
+    for k, t in out.items():
+        assert not any(line[j : j + 7] in t for line in key for j in range(0, len(line) - 6)), (k, rows[k][1][:99], t)
+        assert not secrets.scan_text(t) and t.count("[secret]") == (2 if k == len(forms) else 1)
+        assert "kept one, kept two\n" in t and "kept three" in t if k == len(forms) else t.startswith("Here it is:\n[secret]") and t.endswith("\nAnd so the text goes on.\n")
+    prose = f"A line {begin} opens a key, and the words after it stay."
+    assert [x[1:] for x in secrets.scan_text(prose)] == [(7, 7 + len(begin))]
+    many = (begin + "\n" + "word and word " * 5) * 5000
+    assert len(secrets.scan_text(many)) == 5000
+
+
 def test_ledger_scans_once(spark, odd_docs, no_docs, tmp_path):
     ledger = secrets.Ledger(spark, f"file://{tmp_path}/ledger")
     versions = spark.createDataFrame([("a", 'x token = "abcdef12"'), ("b", 'x token = "abcdef12"'), ("c", None)], "path string, text string")
