@@ -10,6 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+#: Bytes of a row group of tables between steps: a writer holds one in memory.
+ROW_GROUP = 16 << 20
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
@@ -39,7 +43,7 @@ def written(df: DataFrame, what: str) -> DataFrame:
     """df written as a table in the shared folder and read back, without what the planner knew of its partitioning."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -48,7 +52,7 @@ def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
     spark, own = df.sparkSession, uuid.uuid4().hex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"labelweave_{what}_{own}", f"{shared_dir(spark)}/{what}-{own}"
-    df.write.option("compression", "zstd").option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
+    df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
     return spark.table(name)
 
 

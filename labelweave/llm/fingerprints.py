@@ -69,20 +69,23 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     """
     kind = docs.schema["doc_id"].dataType
     d = id_text(docs).select(F.coalesce(F.col("doc_id").cast("long"), F.lit(_LEAST)).alias("kid"), F.xxhash64("text").alias("hash"), "text")
-    keys = d.select("kid", "hash", F.length("text").alias("n"), digest(canonical(F.col("text"))).alias("own")).distinct()
-    keys = written(keys, "digests")
+    keys = d.select("kid", "hash", F.length("text").alias("n"), digest(canonical(F.col("text"))).alias("own"))
+    keys = written(keys.groupBy("kid", "hash", "n", "own").agg(F.count(F.lit(1)).alias("copies")), "digests")
     # written, so that the join shuffles both sides and Spark can split the rows of a digest that very many documents have
     shared = written(keys.groupBy(_wide(F.col("own")).alias("w")).agg(F.count(F.lit(1)).alias("_n")).where("_n > 1").select("w", F.lit(True).alias("shared")), "shared")
-    keys = keys.withColumn("w", _wide(F.col("own"))).join(shared, "w", "left").drop("w")
-    asked = written(successors(keys).drop("next_n", "next_shared"), "successors")
+    asked = keys.drop("copies").withColumn("w", _wide(F.col("own"))).join(shared, "w", "left").drop("w")
+    asked = written(successors(asked).drop("next_n", "next_shared"), "successors")
     asked = asked.withColumn("k", F.floor(F.col("n") / 4).cast("int"))
     to = asked.select(F.col("next_kid").alias("kid"), F.col("next_hash").alias("hash"), F.struct("kid", "hash", "n", "k", "own", "next_own", "shared").alias("by"))
-    begins = d.join(to, ["kid", "hash"]).select("by.*", F.substring("text", F.lit(1), F.col("by.k")).alias("begin")).dropDuplicates(["kid", "hash"])
+    begins = d.join(to, ["kid", "hash"]).select("by.*", F.substring("text", F.lit(1), F.col("by.k")).alias("begin"))
+    if not keys.where("copies > 1").isEmpty():
+        begins = begins.dropDuplicates(["kid", "hash"])
     edited = F.concat(F.substring("text", F.lit(1), F.col("n") - F.col("k")), F.col("begin"))
-    whole = d.join(begins, ["kid", "hash"]).withColumns({"edited": edited}).withColumns({"canon": canonical(F.col("text")), "edited_canon": canonical(F.col("edited"))})
+    # a text's canonical form is made again only where bytes are to be compared; whole texts end here
+    whole = d.join(begins, ["kid", "hash"]).withColumns({"edited": edited}).withColumns({"edited_canon": canonical(F.col("edited"))}).withColumns({"changed": digest(F.col("edited_canon"))})
     out = whole.select(
-        F.when(F.col("kid") != _LEAST, F.col("kid")).cast(kind).alias("doc_id"), "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", digest(F.col("edited_canon")).alias("changed"),
-        (F.col("canon") == F.col("edited_canon")).alias("same"), F.when(F.col("shared"), F.col("canon")).alias("bytes"))
+        F.when(F.col("kid") != _LEAST, F.col("kid")).cast(kind).alias("doc_id"), "n", F.sha2("edited", 256).alias("edited_sha256"), "own", "next_own", "changed",
+        F.when(F.col("own") == F.col("changed"), canonical(F.col("text")) == F.col("edited_canon")).otherwise(False).alias("same"), F.when(F.col("shared"), canonical(F.col("text"))).alias("bytes"))
     out = written(out, "fingerprints")
     variants = out.where(F.col("bytes").isNotNull()).groupBy(_wide(F.col("own")).alias("w"), "bytes").agg(F.lit(1).alias("_")).groupBy("w").agg(F.count(F.lit(1)).alias("_n"))
     collided = written(variants.where("_n > 1").select("w"), "collided")
