@@ -23,10 +23,26 @@ def id_text(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select("doc_id", *more, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
+def free(df: DataFrame, name: str) -> str:
+    """name, with as many lines before it as make it differ from all columns of df."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
+def file_at(spark: SparkSession, path: str):
+    """The store of path, and path, as Spark's own readers see them."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), at
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir, or a folder of our own where that is unset."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir, or, on one machine, a folder of our own where that is unset."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = f"file://{tempfile.mkdtemp(prefix='labelweave-')}"
         spark.conf.set("spark.checkpoint.dir", found)
         spark.sparkContext.setCheckpointDir(found)
@@ -48,12 +64,17 @@ def written(df: DataFrame, what: str) -> DataFrame:
 
 
 def bucketed(df: DataFrame, what: str, key: str) -> DataFrame:
-    """df written as a table bucketed by key in the shared folder: a join by key reads it where it lies and shuffles the other side alone."""
+    """df written as a table bucketed by key in the shared folder: a join by key reads it where it lies and shuffles the other side alone.
+
+    The catalogue knows the table only until its plan has been made; the files stay.
+    """
     spark, own = df.sparkSession, uuid.uuid4().hex
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
     name, path = f"labelweave_{what}_{own}", f"{shared_dir(spark)}/{what}-{own}"
     df.write.option("compression", "zstd").option("parquet.block.size", ROW_GROUP).option("path", path).bucketBy(n, key).format("parquet").saveAsTable(name)
-    return spark.table(name)
+    table = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")
+    return table
 
 
 #: White space of the pre-token pattern (the Unicode property White_Space); fixed values.

@@ -5,7 +5,9 @@ does not hold yet are scanned, each distinct text once; the findings go to the l
 that ever held the blob. Equal texts are brought together by a hash aggregate that first drops copies within each task;
 the join back is a left join of two plain exchanges, which AQE splits where one blob has very many paths.
 
-Null text: the empty one, without findings. Repeated rows: each gets the findings of its blob.
+Null text: the empty one, without findings. Very long texts are scanned in whole. Repeated rows: each gets the findings of
+its blob, once, also where two scans at a time put it into the ledger twice. Other columns of the versions may have any
+name but those that findings() adds.
 """
 
 from __future__ import annotations
@@ -19,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shared_dir
+from .common import file_at, shared_dir
 
 FINDINGS = "array<struct<rule:string,start:int,end:int>>"
 
@@ -94,33 +96,39 @@ class Ledger:
 
     def seen(self) -> DataFrame | None:
         """blob, findings of this rule version, or None before the first scan."""
-        at = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(self.path)
-        if not at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+        fs, at = file_at(self.spark, self.path)
+        if not fs.exists(at):
             return None
         return self.spark.read.schema(f"blob binary, findings {FINDINGS}").parquet(self.path)
 
-    def scan(self, versions: DataFrame) -> int | None:
+    def scan(self, versions: DataFrame) -> None:
         """Scan the texts of versions (column text) whose blob the ledger lacks, and append what they hold."""
-        new = _addressed(versions).select("blob", "text")
-        if (seen := self.seen()) is not None:
-            new = new.join(seen.select("blob"), "blob", "left_anti")
+        new = versions.select(_address().alias("blob"), _text().alias("text"))
+        if (seen := self.seen()) is None:
+            new = new.distinct()
+        else:  # grouped by blob alone, so that the anti-join shuffles no text
+            new = new.groupBy("blob").agg(F.first("text").alias("text")).hint("merge").join(seen.select("blob"), "blob", "left_anti")
         rules = self.rules
         (
-            new.distinct()
-            .mapInArrow(lambda batches: _scan(batches, rules), f"blob binary, findings {FINDINGS}")
+            new.mapInArrow(lambda batches: _scan(batches, rules), f"blob binary, findings {FINDINGS}")
             .write.mode("append").option("compression", "zstd").parquet(self.path)
         )
 
     def findings(self, versions: DataFrame, *keep: str) -> DataFrame:
-        """keep, blob, findings (empty where nothing was found) for every row of versions."""
-        found = self.seen().where(F.size("findings") > 0)
-        rows = _addressed(versions).select(*keep, "blob")
+        """keep, blob, findings (empty where nothing was found) for every row of versions, all of which have been scanned."""
+        if {"blob", "findings"} & {k.lower() for k in keep}:
+            raise ValueError("blob and findings are columns of the result; put those of the same name into a struct")
+        found = self.seen().where(F.size("findings") > 0).groupBy("blob").agg(F.first("findings").alias("findings"))
+        rows = versions.select(*keep, _address().alias("blob"))
         return rows.join(found, "blob", "left").select(*keep, "blob", F.coalesce("findings", F.array().cast(FINDINGS)).alias("findings"))
 
 
-def _addressed(versions: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    return versions.withColumns({"text": text, "blob": F.unhex(F.sha2(text, 256))})
+def _text():
+    return F.coalesce(F.col("text").cast("string"), F.lit(""))
+
+
+def _address():
+    return F.unhex(F.sha2(_text(), 256))
 
 
 def joined(findings, rules: tuple[str, ...] | None = None):

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text
+from .common import free, id_text
 
 #: Most labelled documents of each class that fitting reads, most terms it keeps, and words of a worker's memory.
 SAMPLE, TERMS, CACHE = 4000, 400, 1_500_000
@@ -268,19 +268,19 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def score(docs: DataFrame, model: Model, *keep: str) -> DataFrame:
-    """keep, doc_id and score, 0 to 1."""
+    """doc_id, keep and score, 0 to 1."""
     import copy
 
-    rows = docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
-    schema = rows.drop("_text").schema.add("score", "double")
+    text = free(docs, "_text")
+    rows = docs.select("doc_id", *keep, F.coalesce(F.col("text").cast("string"), F.lit("")).alias(text))
+    schema = rows.drop(text).schema.add("score", "double")
     model = copy.copy(model)
     model._lexicon = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at = b.schema.get_field_index("_text")
-            s = [model.score(t) for lo in range(0, b.num_rows, 256) for t in b.column(at).slice(lo, 256).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*[c for i, c in enumerate(b.columns) if i != at], pa.array(s, pa.float64())], names=schema.names)
+            s = [model.score(t) for lo in range(0, b.num_rows, 256) for t in b.column(b.num_columns - 1).slice(lo, 256).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*b.columns[:-1], pa.array(s, pa.float64())], names=schema.names)
 
     return rows.mapInArrow(run, schema)
 
