@@ -1,7 +1,7 @@
 """Documents to packed training sequences: toxicity, exact dedup, near-dedup, secret scans, packing.
 
 Each stage takes (spark, docs, sf_dir), docs with the columns of documents, and works on all that it is given; all but
-the last return those columns. Null texts count as empty.
+the last return those columns, and any others that docs has, whatever their names. Null texts count as empty.
 """
 
 from __future__ import annotations
@@ -11,35 +11,37 @@ from pyspark.sql import functions as F
 
 from labelweave.llm import exact_dedup, neardup, packing, secrets, toxicity
 from labelweave.llm.catalogue import BYTE_JSON, vocabulary
-from labelweave.llm.common import read, written
+from labelweave.llm.common import free, read, written
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.fit(docs, toxicity.labelled(read(spark, sf_dir, "labels")))
-    scored = toxicity.score(docs.withColumn("_whole", F.struct(*docs.columns)), model, "_whole")
-    return scored.where("score < 0.5").select("_whole.*")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
+    return toxicity.score(rows, model, "row").where("score < 0.5").select("row.*")
 
 
-def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the one of the largest doc_id stays."""
-    return exact_dedup.dedup(docs, exact_dedup.DigestIndex(spark))
+def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, index: exact_dedup.DigestIndex | None = None) -> DataFrame:
+    """Of equal texts the one of the largest doc_id stays, and none whose text the index has."""
+    return exact_dedup.fresh(docs, index or exact_dedup.DigestIndex(spark))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies the one of the smallest doc_id stays."""
-    kept = neardup.classes(docs).where("kept").select(F.col("doc_id").alias("_kept"))
-    return docs.join(kept, docs["doc_id"].eqNullSafe(kept["_kept"]), "left_semi")
+    name = free(docs, "_kept")
+    kept = neardup.classes(docs).where("kept").select(F.col("doc_id").alias(name))
+    return docs.join(kept, docs["doc_id"].eqNullSafe(kept[name]), "left_semi")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Secrets are overwritten; the documents stay."""
+    """Secrets are overwritten and n_chars counted anew; the documents stay."""
     ledger = secrets.Ledger(spark)
     ledger.scan(docs)
-    found = ledger.findings(docs, *docs.columns)
-    text = secrets.masked(F.col("text"), F.col("findings"))
-    masked = found.withColumn("text", F.when(F.size("findings") > 0, text).otherwise(F.col("text")))
-    return masked.withColumn("n_chars", F.when(F.size("findings") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*docs.columns)
+    found = ledger.findings(docs.select("text", F.struct(*docs.columns).alias("row")), "row")
+    text = secrets.masked(F.col("row.text"), F.col("findings"))
+    some = F.size("findings") > 0
+    new = {"text": F.when(some, text).otherwise(F.col("row.text")), "n_chars": F.when(some, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
+    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +56,12 @@ STAGES = [("toxicity", drop_toxic), ("exact dedup", drop_copies), ("near-dedup",
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run(spark: SparkSession, sf_dir: str, index: exact_dedup.DigestIndex | None = None) -> DataFrame:
+    """All stages over documents. An index of earlier corpora takes up this one's digests once its distinct texts are written."""
     docs = read(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        more = {"index": index} if index is not None and stage is drop_copies else {}
+        docs = written(stage(spark, docs, sf_dir, **more), name.replace(" ", "-"))
+        if more:
+            index.append(docs)
     return STAGES[-1][1](spark, docs, sf_dir)
