@@ -9,11 +9,13 @@
 4. For decoding, each chunk meets the token-byte table of its vocabulary, which has one row of as many entries as the
    vocabulary has tokens and so can be broadcast.
 
-Null or empty text: no ids. Repeated rows are encoded each by themselves.
+Null or empty text: no ids. A very long text is a chunk by itself. Repeated rows are encoded each by themselves. Other
+columns of docs go; their names clash with nothing.
 """
 
 from __future__ import annotations
 
+import array
 import base64
 import functools
 from collections.abc import Iterator
@@ -27,7 +29,8 @@ from .common import bucketed, id_text, segment_keys, segment_of
 
 #: Characters of a chunk (a longer document is a chunk by itself), and rows that the encoder packs together.
 CHUNK, PACK = 32_000_000, 400_000
-_POS = 24
+#: Bits of a place that are a position in a chunk's list, and of a chunk's number that count those of a task.
+_POS, _SEQ = 30, 12
 
 
 @functools.cache
@@ -82,7 +85,7 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, kind: pa.DataType)
     def flush() -> pa.RecordBatch:
         nonlocal seq, size
         words: dict[str, int] = {}
-        flat, n, names = [], [], list(keys)
+        flat, n, names = array.array("I"), array.array("I"), list(keys)
         whole = np.concatenate(stream) if stream else np.empty(0, np.uint32)
         order = np.argsort(-np.bincount(whole, minlength=len(names)), kind="stable")  # frequent segments get small numbers, which pack well
         rank = np.empty(len(names), np.uint32)
@@ -95,8 +98,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, kind: pa.DataType)
                 flat.append(0 if known is None else known + 1)
                 if known is None:
                     words[w] = len(words)
+        if len(words) >= 1 << _POS or seq >= 1 << _SEQ or task >= 1 << (63 - _POS - _SEQ):
+            raise OverflowError("a chunk has too many pre-tokens, a task too many chunks, or the job too many tasks to be numbered")
         one = pa.RecordBatch.from_arrays([
-            pa.array([(task << 12) + seq], pa.int64()), pa.array([list(words)], pa.list_(pa.string())), pa.array([_squeeze(flat)], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
+            pa.array([(task << _SEQ) + seq], pa.int64()), pa.array([list(words)], pa.list_(pa.string())), pa.array([_squeeze(flat)], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
             pa.array([ids], pa.list_(kind)), pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(rank[whole])], pa.binary())],
             ["chunk", "words", "part", "parts", "doc_ids", "lengths", "stream"])
         seq, size = seq + 1, 0

@@ -7,7 +7,8 @@ between them. All control strings start with "<"; in texts and roles "<" becomes
 The loss mask is the list of spans (code points of the formatted text) of the assistant's texts.
 
 Null text or role: the empty one. Rows with equal turn numbers are ordered by role, then text; a null turn comes first.
-Repeated rows stay. Null conv_id: one conversation of its own.
+Repeated rows stay. Null conv_id: one conversation of its own. A conversation is one row, however long its texts. Other
+columns go; their names clash with nothing.
 """
 
 from __future__ import annotations

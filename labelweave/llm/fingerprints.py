@@ -5,7 +5,8 @@ Its digest is two xxhash64 with different seeds. Documents are grouped by it, an
 canonical bytes are compared; where they differ, the fingerprints of that group are told apart by a part of the SHA-256
 of the canonical text, so equal fingerprints mean equal canonical texts. The likeness of two fingerprints is 1 or 0.
 
-Null text: the empty one. Rows of equal doc_id and text are one document, which gets as many equal rows; documents of
+Null text: the empty one. Very long texts go through in whole, one row at a time; other columns of docs go, their names
+clash with nothing. doc_id is a whole number. Rows of equal doc_id and text are one document, which gets as many equal rows; documents of
 equal doc_id and different text follow each other by a hash of the text; a null doc_id is less than any other.
 The id -2**63 is taken for a null one.
 """

@@ -6,8 +6,10 @@ grade on, by which documents are selected. x holds relative frequencies of hashe
 
 Fitting reads a bounded, hash-ordered sample of rated documents, in which each grade weighs as much as all its rated
 documents; with two grades the model is a logistic regression.
-Scoring shuffles nothing and reads whole texts. Null or empty text: x is 0, the score follows from the thresholds.
-Repeated rows are scored alike.
+Scoring shuffles nothing and reads whole texts, very long ones too. Null or empty text: x is 0, the score follows from the
+thresholds. Repeated rows are scored alike; a doc_id that is rated and has several texts is learnt from the least of them.
+Without any rating, scores are null; with a single grade, that is the expected one and sure. Other columns of docs go;
+their names clash with nothing.
 """
 
 from __future__ import annotations
@@ -19,6 +21,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from .common import id_text
 
 #: Hashed dimensions, shape figures, and the most rated documents of each grade that fitting reads.
 DIMS, SHAPES, SAMPLE = 1 << 16, 5, 2000
@@ -60,7 +65,7 @@ def fit_sparse(rows: list[tuple[np.ndarray, np.ndarray]], grades: list[int], rid
     y = np.searchsorted(levels, grades)
     k = len(levels) - 1
     if k < 1:
-        return Model(levels or [0], np.zeros(DIMS + SHAPES), np.zeros(0))
+        return Model(levels, np.zeros(DIMS + SHAPES), np.zeros(0))
     row = np.repeat(np.arange(len(rows)), [len(a) for a, _ in rows])
     at, value = np.concatenate([a for a, _ in rows]), np.concatenate([v for _, v in rows])
     p = np.zeros(DIMS + SHAPES + k)  # weights, first threshold, logs of the gaps
@@ -100,16 +105,15 @@ def fit(docs: DataFrame, ratings: DataFrame, sample: int = SAMPLE) -> Model:
     for g, n in named.groupBy("grade").count().collect():
         some = named.where(F.col("grade") == g).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample).collect()
         chosen, stands[g] = chosen + some, n / max(1, len(some))
-    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], "_id long, _grade int")
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    rows = docs.select("doc_id", text.alias("text")).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).dropDuplicates(["doc_id"]).select("doc_id", "text", "_grade").collect()
+    ids = docs.sparkSession.createDataFrame([tuple(r) for r in chosen], T.StructType([T.StructField("_id", named.schema["doc_id"].dataType), T.StructField("_grade", T.IntegerType())]))
+    rows = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.min("_grade").alias("_grade")).collect()
     rows.sort(key=lambda r: r[0])
     return fit_sparse([features(r[1]) for r in rows], [r[2] for r in rows], weights=[stands[r[2]] for r in rows])
 
 
 def score(docs: DataFrame, model: Model, at_least: int | None = None) -> DataFrame:
     """doc_id, expected_grade, tail_prob: the probability of grade at_least (the highest, if not given) or more."""
-    cut = model.grades.index(at_least if at_least is not None else model.grades[-1])
+    cut = model.grades.index(at_least if at_least is not None else model.grades[-1]) if model.grades else None
     rows = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("_text"))
     schema = rows.select("doc_id").schema.add("expected_grade", "double").add("tail_prob", "double")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # of fixed size: the hashed dimensions
@@ -118,6 +122,10 @@ def score(docs: DataFrame, model: Model, at_least: int | None = None) -> DataFra
         m = shared.value
         steps = np.diff(m.grades)
         for b in batches:
+            if cut is None:
+                none = pa.nulls(b.num_rows, pa.float64())
+                yield pa.RecordBatch.from_arrays([b.column(0), none, none], ["doc_id", "expected_grade", "tail_prob"])
+                continue
             tails = [m.tails(t) for lo in range(0, b.num_rows, 256) for t in b.column(1).slice(lo, 256).to_pylist()]
             mean = [float(m.grades[0] + t @ steps) for t in tails]
             tail = [float(t[cut - 1]) if cut else 1.0 for t in tails]

@@ -7,7 +7,9 @@ as words need them. Hits are weighed by how they stand: within quotation marks o
 apart from those that are said outright. A logistic regression over these counts gives the score.
 
 Scoring shuffles nothing: the model is a few hundred terms at most and goes along with the tasks.
-Null or empty text: the score of a text without hits. Repeated rows are scored alike.
+Null or empty text: the score of a text without hits. Very long texts are read in whole. Repeated rows are scored alike; a
+labelled doc_id with several texts is learnt from the least of them. Without labels of both classes every score is below
+one half. Other columns of docs go or, if named in keep, stay; doc_id and score are names of the result.
 """
 
 from __future__ import annotations
@@ -23,11 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import free, id_text
 
-#: Most labelled documents of each class that fitting reads, most terms it keeps, and words of a worker's memory.
-SAMPLE, TERMS, CACHE = 4000, 400, 1_500_000
+#: Most labelled documents of each class that fitting reads, most terms it keeps, bytes, by estimate, of the words that a worker keeps, and the longest of them.
+SAMPLE, TERMS, CACHE, LONG = 4000, 400, 192 << 20, 64
 #: Shortest stem, least toxic documents that support a term, as a number and as a share of them, least log-odds of a term, and of one that is kept beside others, least length for a misspelling.
 STEM, SUPPORT, SHARE, ODDS, SURE, FUZZY = 4, 4, 0.01, 3.5, 5.0, 5
 _WORD = re.compile(r"\w+")
@@ -66,6 +69,7 @@ class Lexicon:
         self.word_hit: list[tuple[int, int] | None] = []
         self.start = self._state(frozenset({(0, 0)}))
         self.seen: dict[str, tuple[int, int] | None] = {}
+        self.held = 0
 
     def _state(self, pairs: frozenset) -> int:
         closed = set(pairs)
@@ -111,11 +115,17 @@ class Lexicon:
         return stem
 
     def hit(self, word: str) -> tuple[int, int] | None:
-        if word not in self.seen:
-            if len(self.seen) > CACHE:
+        try:
+            return self.seen[word]
+        except KeyError:
+            found = self.look(word)
+        if len(word) <= LONG:
+            if self.held > CACHE:
                 self.seen.clear()
-            self.seen[word] = self.look(word)
-        return self.seen[word]
+                self.held = 0
+            self.seen[word] = found
+            self.held += 150 + 2 * len(word)
+        return found
 
 
 @dataclass
@@ -257,8 +267,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     chosen = [(r[0], r[1] >= 1) for r in some.select("doc_id", "toxic").collect()]
     size = {bool(x): n for x, n in named.groupBy(F.col("toxic") >= 1).count().collect()}
     stands = {x: size.get(x, 0) / max(1, sum(t == x for _, t in chosen)) for x in (True, False)}
-    ids = docs.sparkSession.createDataFrame(chosen, "_id long, _toxic boolean")
-    rows = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).select("doc_id", "text", "_toxic").dropDuplicates(["doc_id"]).collect()
+    ids = docs.sparkSession.createDataFrame(chosen, T.StructType([T.StructField("_id", named.schema["doc_id"].dataType), T.StructField("_toxic", T.BooleanType())]))
+    rows = id_text(docs).join(F.broadcast(ids), F.col("doc_id") == F.col("_id")).groupBy("doc_id").agg(F.min("text").alias("text"), F.bool_or("_toxic").alias("_toxic")).collect()
     rows.sort(key=lambda r: r[0])
     texts, toxic = [r[1] for r in rows], [bool(r[2]) for r in rows]
     model = learn_terms(texts, toxic)
