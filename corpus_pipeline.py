@@ -17,8 +17,9 @@ from labelweave.llm.common import free, read, written
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model rejects go."""
     model = toxicity.fit(docs, toxicity.labelled(read(spark, sf_dir, "labels")))
-    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias("row"))
-    return toxicity.score(rows, model, "row").where("score < 0.5").select("row.*")
+    whole = free(docs, "_row")
+    rows = docs.select("doc_id", "text", F.struct(*docs.columns).alias(whole))
+    return toxicity.score(rows, model, whole).where("score < 0.5").select(f"{whole}.*")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str, index: exact_dedup.DigestIndex | None = None) -> DataFrame:
@@ -37,11 +38,13 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     """Secrets are overwritten and n_chars counted anew; the documents stay."""
     ledger = secrets.Ledger(spark)
     ledger.scan(docs)
-    found = ledger.findings(docs.select("text", F.struct(*docs.columns).alias("row")), "row")
-    text = secrets.masked(F.col("row.text"), F.col("findings"))
+    whole = free(docs, "_row")
+    old = lambda c: F.col(f"{whole}.`{c}`")
+    found = ledger.findings(docs.select("text", F.struct(*docs.columns).alias(whole)), whole)
+    text = secrets.masked(old("text"), F.col("findings"))
     some = F.size("findings") > 0
-    new = {"text": F.when(some, text).otherwise(F.col("row.text")), "n_chars": F.when(some, F.length(text).cast("long")).otherwise(F.col("row.n_chars"))}
-    return found.select(*[new.get(c, F.col(f"row.`{c}`")).alias(c) for c in docs.columns])
+    new = {"text": F.when(some, text).otherwise(old("text")), "n_chars": F.when(some, F.length(text).cast("long")).otherwise(old("n_chars"))}
+    return found.select(*[new.get(c, old(c)).alias(c) for c in docs.columns])
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
