@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -94,6 +95,14 @@ MEASURES: dict[str, Callable[[Column, Column], Column]] = {
 }
 NORMALISED = frozenset({"NSSD", "NCCone", "NCClog", "NCCplus", "NCCplusok"})
 
+#: Measures of some rows of vectors with others, by numpy, for joins in blocks: the same numbers but for the last digits.
+BLOCKWISE = {
+    squared_euclidean: lambda x, y: ((x[:, None, :] - y[None, :, :]) ** 2).sum(2),
+    euclidean: lambda x, y: np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(2)),
+    cityblock: lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).sum(2),
+    chebyshev: lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).max(2),
+}
+
 
 def column_means(rows: Column) -> Column:
     """Of an image, an array of rows: the mean of each column."""

@@ -1,13 +1,14 @@
 """Spreading class scores over a similarity graph: harmonic functions and the quadratic criterion.
 
 Nodes are (dataset, id, y array, e array), one entry for each class; edges are (dataset, i, j, w), symmetric, without
-loops. Two solvers agree: solve_exact hands each dataset's dense system to numpy in a grouped function, for datasets of
-up to a few thousand nodes; iterate repeats a sparse step over edges as joins and sums, for graphs of any size.
+loops. Two solvers agree: dense systems of datasets of up to a few thousand nodes go to numpy in a grouped function;
+iterate repeats a sparse step over edges as joins and sums, for graphs of any size. solve_exact takes the one that a
+dataset's size asks for.
 """
 
 from __future__ import annotations
 
-import tempfile
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -16,9 +17,11 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels
 from . import metrics
+from .storage import bucketed, kept
 
-#: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints.
-DENSE, EVERY = 3000, 5
+#: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are iterated until no score
+#: moves by more than CLOSE in a step, for so many steps at most, beyond which it is an error.
+DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-9, 5000
 
 
 def edge_weights(edges: DataFrame, bandwidth: float) -> DataFrame:
@@ -64,44 +67,52 @@ def dense(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, y: np.ndarray, e:
     return f
 
 
+def by_size(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """nodes of datasets that fit a dense matrix, and those of larger ones, or None where there are none. One count."""
+    large = kept(nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE).select("dataset"))
+    if large.isEmpty():
+        return nodes, None
+    return nodes.join(large, "dataset", "left_anti"), nodes.join(large, "dataset", "left_semi")
+
+
 def solve_exact(nodes: DataFrame, edges: DataFrame, method: str = "harmonic", **params: float) -> DataFrame:
-    """(dataset, id, scores). Each dataset is one dense system."""
+    """(dataset, id, scores). Each dataset of up to DENSE nodes is one dense system; larger ones are iterated until their scores stand still."""
     kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in ("dataset", "id"))
 
     def run(v: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(v):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "id", "scores")})
-        if len(v) > DENSE:
-            raise ValueError(f"{len(v)} nodes in one dataset: use iterate()")
         at = pd.Series(range(len(v)), index=v["id"])
         i, j = at.reindex(g["i"]).to_numpy(), at.reindex(g["j"]).to_numpy()
         f = dense(len(v), i.astype(int), j.astype(int), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, **params)
         return pd.DataFrame({"dataset": v["dataset"].astype(object), "id": v["id"].astype(object), "scores": list(f)})
 
-    return nodes.groupBy("dataset").cogroup(edges.select("dataset", "i", "j", "w").groupBy("dataset")).applyInPandas(run, f"{kinds}, scores array<double>")
-
-
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    if not spark.conf.get("spark.checkpoint.dir", None) and spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='labelweave-')}")
-    return df.checkpoint(eager=True)
+    small, large = by_size(nodes)
+    edges = edges.select("dataset", "i", "j", "w")
+    own = edges if large is None else edges.join(large.select("dataset").distinct(), "dataset", "left_anti")
+    out = small.groupBy("dataset").cogroup(own.groupBy("dataset")).applyInPandas(run, f"{kinds}, scores array<double>")
+    if large is None:
+        return out
+    classes = large.select(F.max(F.size("y"))).first()[0]
+    return out.unionByName(iterate(large, edges.join(large.select("dataset").distinct(), "dataset", "left_semi"), classes, None, method, **params))
 
 
-def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int, method: str = "harmonic", unary_weight: float = 1.0, smoothness: float = 1e-2, regularisation: float = 1e-1) -> DataFrame:
-    """(dataset, id, scores) after so many Jacobi steps from 0 (hard: from y of the known nodes).
+def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int | None, method: str = "harmonic", unary_weight: float = 1.0, smoothness: float = 1e-2, regularisation: float = 1e-1) -> DataFrame:
+    """(dataset, id, scores) after so many Jacobi steps from 0 (hard: from y of the known nodes); None for as many as scores need to stand still.
 
-    All classes go in one step; degrees are summed once; the state is checkpointed now and then, so a lost executor costs
-    a few steps and the plan stays short.
+    All classes go in one step; degrees are summed once. Edges lie in buckets by their end, so only the state moves; it is
+    checkpointed now and then, so a lost executor costs a few steps and the plan stays short.
     """
     cs = range(classes)
-    edges = _kept(edges.select("dataset", "i", "j", "w"))  # every step reads them
+    edges = bucketed(edges.select("dataset", "i", "j", "w"), "dataset", "j")  # every step reads them
     deg = edges.groupBy("dataset", F.col("i").alias("id")).agg(F.sum("w").alias("deg"))
     state = nodes.select("dataset", "id", *[F.col("y")[c].alias(f"y{c}") for c in cs], *[F.col("e")[c].alias(f"e{c}") for c in cs]).join(deg, ["dataset", "id"], "left").fillna(0.0, ["deg"])
     state = state.withColumns({f"f{c}": F.when(F.col(f"e{c}") > 0, F.col(f"y{c}")).otherwise(0.0) if method == "hard" else F.lit(0.0) for c in cs})
     sw, reg = smoothness, smoothness * regularisation
-    state = _kept(state)
-    for step in range(1, steps + 1):
+    state = kept(state)
+    step = 0
+    while steps is None or step < steps:
+        step += 1
         f = state.select("dataset", F.col("id").alias("j"), *[f"f{c}" for c in cs])
         sums = edges.join(f, ["dataset", "j"]).groupBy("dataset", F.col("i").alias("id")).agg(*[F.sum(F.col("w") * F.col(f"f{c}")).alias(f"s{c}") for c in cs])
         state = state.join(sums, ["dataset", "id"], "left").fillna(0.0, [f"s{c}" for c in cs])
@@ -114,9 +125,16 @@ def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int, method
                 new[f"f{c}"] = (e * y + sw * s) / (unary_weight * e + sw * d + reg)
             else:
                 new[f"f{c}"] = F.when(e > 0, y).otherwise(F.coalesce(s / F.nullif(d, F.lit(0.0)), F.lit(0.0)))
-        state = state.withColumns(new).drop(*[f"s{c}" for c in cs])
+        look = steps is None and step % EVERY == 0
+        moved = F.greatest(*[F.abs(new[f"f{c}"] - F.col(f"f{c}")) for c in cs], F.lit(0.0)) if look else F.lit(0.0)
+        state = state.withColumns(new | {"_moved": moved}).drop(*[f"s{c}" for c in cs])
         if step % EVERY == 0:
-            state = _kept(state)
+            state = kept(state)
+        if look and (state.agg(F.max("_moved")).first()[0] or 0.0) <= CLOSE:
+            break
+        if steps is None and step >= MOST:
+            raise ArithmeticError(f"scores still move after {step} steps")
+        state = state.drop("_moved")
     out = [(F.col(f"f{c}") + 1) / 2 if method == "general" else F.col(f"f{c}") for c in cs]
     return state.select("dataset", "id", F.array(*out).alias("scores"))
 
@@ -145,31 +163,70 @@ def grid(points: dict[str, list[float]]) -> list[dict[str, float]]:
     return out
 
 
-def train(pred: DataFrame, distances: DataFrame, truth: DataFrame, classes: list[int], points: dict[str, list[float]], method: str = "harmonic") -> DataFrame:
-    """(dataset, bandwidth, unary_weight, score): accuracy on the truth for every grid point and dataset.
+#: What a grid point is scored by: of rows of truth and pred, one number.
+SCORING = {"accuracy": lambda truth, pred: (truth == pred).sum() / (len(truth) + metrics.TINY)}
 
-    The distances are read once; each dataset and grid point is one task's dense solve, so the grid is what spreads.
+
+def train(pred: DataFrame, distances: DataFrame, truth: DataFrame, classes: list[int], points: dict[str, list[float]], method: str = "harmonic", scoring: str = "accuracy") -> DataFrame:
+    """(dataset, bandwidth, unary_weight, score): the score on the truth for every grid point and dataset.
+
+    A dataset is shipped once, to a task that solves it for one grid point after the other; the points of larger ones than
+    DENSE are iterated, one after the other. A dataset with a truth that has no prediction is an error.
     """
-    spark = pred.sparkSession
-    g = spark.createDataFrame([(k, float(p.get("bandwidth", 1.0)), float(p.get("unary_weight", 1.0))) for k, p in enumerate(grid(points))], "point int, bandwidth double, unary_weight double")
-    every = lambda df: df.withColumn("point", F.explode(F.sequence(F.lit(0), F.lit(len(grid(points)) - 1)))).join(F.broadcast(g), "point")
-    v = every(pred.join(truth.select("dataset", "id", F.col("label").alias("truth")), ["dataset", "id"], "left"))
-    e = every(distances.where("i <> j")).withColumn("w", kernels.weight(F.col("d"), F.col("bandwidth")))
+    point = [(float(p.get("bandwidth", 1.0)), float(p.get("unary_weight", 1.0))) for p in grid(points)]
+    known = truth.select("dataset", "id", F.col("label").alias("truth"))
+    if alone := known.join(pred.select("dataset").distinct(), "dataset", "left_semi").join(pred, ["dataset", "id"], "left_anti").limit(3).collect():
+        raise ValueError(f"no prediction for {[tuple(r)[:2] for r in alone]}")
+    v, large = by_size(pred.join(known, ["dataset", "id"], "left"))
+    e = distances.where("i <> j").select("dataset", "i", "j", "d")
     kind = pred.schema["dataset"].dataType.simpleString()
+    score = SCORING[scoring]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
         if not len(p):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "point", "bandwidth", "unary_weight", "score")})
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "bandwidth", "unary_weight", "score")})
         at = pd.Series(range(len(p)), index=p["id"])
-        uw = p["unary_weight"].iloc[0]
-        y = np.stack([p["pred"].to_numpy() == c for c in classes], 1).astype(float)
-        probs = np.stack(p["probs"])
-        y, unary = (2 * y - 1, probs) if method == "general" else (y, np.exp(uw * probs))
-        f = dense(len(p), at[q["i"]].to_numpy(), at[q["j"]].to_numpy(), q["w"].to_numpy(), y, unary, method, unary_weight=uw)
+        i, j, d = at[q["i"]].to_numpy(), at[q["j"]].to_numpy(), q["d"].to_numpy()
+        hard, probs = np.stack([p["pred"].to_numpy() == c for c in classes], 1).astype(float), np.stack(p["probs"])
         t = p["truth"].to_numpy(dtype=float)
-        some = ~np.isnan(t)
-        hit = np.array(classes)[f.argmax(1)][some] == t[some]
-        return pd.DataFrame({"dataset": pd.Series([p["dataset"].iloc[0]], dtype=object), "point": [p["point"].iloc[0]], "bandwidth": [p["bandwidth"].iloc[0]], "unary_weight": [uw], "score": [hit.sum() / (hit.size + metrics.TINY)]})
-
-    out = v.groupBy("dataset", "point").cogroup(e.select("dataset", "point", "i", "j", "w").groupBy("dataset", "point"))
-    return out.applyInPandas(run, f"dataset {kind}, point int, bandwidth double, unary_weight double, score double").drop("point")
+        some, out = ~np.isnan(t), []
+        for bandwidth, uw in point:
+            y, unary = (2 * hard - 1, probs) if method == "general" else (hard, np.exp(uw * probs))
+            f = dense(len(p), i, j, np.exp(-d * bandwidth), y, unary, method, unary_weight=uw)
+            out.append((p["dataset"].iloc[0], bandwidth, uw, float(score(t[some], np.array(classes)[f.argmax(1)][some]))))
+        return pd.DataFrame(out, columns=["dataset", "bandwidth", "unary_weight", "score"]).astype({"dataset": object})
+
+    if large is None:
+        return v.groupBy("dataset").cogroup(e.groupBy("dataset")).applyInPandas(run, f"dataset {kind}, bandwidth double, unary_weight double, score double")
+    names = large.select("dataset").distinct()
+    small = v.groupBy("dataset").cogroup(e.join(names, "dataset", "left_anti").groupBy("dataset")).applyInPandas(run, f"dataset {kind}, bandwidth double, unary_weight double, score double")
+    if scoring != "accuracy":
+        raise ValueError(f"datasets of over {DENSE} nodes are scored by accuracy alone")
+    e, large, parts = kept(e.join(names, "dataset", "left_semi")), kept(large), [small]
+    for bandwidth, uw in point:
+        s = iterate(one_vs_rest(large, classes, method, uw), edge_weights(e, bandwidth), len(classes), None, method, uw)
+        judged = decided(s, classes).join(large.where("truth is not null").select("dataset", "id", "truth"), ["dataset", "id"])
+        parts.append(metrics.accuracy(judged, "dataset").select("dataset", F.lit(bandwidth).alias("bandwidth"), F.lit(uw).alias("unary_weight"), F.col("accuracy").alias("score")))
+    return reduce(DataFrame.unionByName, parts)
+
+
+def save_propagator(spark, path: str, best: dict[str, float], classes: list[int], method: str = "harmonic", seed: int | None = None) -> None:
+    """What the grid search found, without the scores it found it by."""
+    import json
+
+    meta = {"bandwidth": float(best["bandwidth"]), "unary_weight": float(best["unary_weight"]), "classes": list(classes), "method": method, "seed": seed}
+    spark.createDataFrame([(json.dumps(meta),)], "meta string").coalesce(1).write.mode("overwrite").text(path)
+
+
+def load_propagator(spark, path: str) -> dict:
+    import json
+
+    return json.loads(spark.read.text(path).first()[0])
+
+
+def apply_propagator(propagator: dict, pred: DataFrame, distances: DataFrame) -> DataFrame:
+    """(dataset, id, pred, pred_argmax, prob<c>) of predictions spread over the graph of distances by a propagator's parameters."""
+    classes, method = propagator["classes"], propagator["method"]
+    nodes = one_vs_rest(pred, classes, method, propagator["unary_weight"])
+    params = {"unary_weight": propagator["unary_weight"]} if method == "general" else {}
+    return decided(solve_exact(nodes, edge_weights(distances, propagator["bandwidth"]), method, **params), classes)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .storage import in_ranges, offsets
+
 TINY = 1e-10
 
 
@@ -108,10 +110,18 @@ def histogram(df: DataFrame, value: str, by: str, low: float, high: float, bins:
 
 
 def _ranked(df: DataFrame, *by: str) -> DataFrame:
-    """(by, score, tp, fp) running over distinct scores from the highest; scores are summed up first, so the window has as many rows as there are scores."""
+    """(by, score, tp, fp) running over distinct scores from the highest; scores are summed up first, so the window has as many rows as there are scores.
+
+    Without groups, scores are dealt out by ranges, and each range goes on from the sums of those before.
+    """
     s = df.groupBy(*by, "score").agg(F.sum(F.col("y").cast("long")).alias("p"), F.sum(1 - F.col("y").cast("long")).alias("n"))
-    w = Window.partitionBy(*by).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    return s.select(*by, "score", F.sum("p").over(w).alias("tp"), F.sum("n").over(w).alias("fp"))
+    w = lambda *part: Window.partitionBy(*part).orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if by:
+        return s.select(*by, "score", F.sum("p").over(w(*by)).alias("tp"), F.sum("n").over(w(*by)).alias("fp"))
+    s = in_ranges(s, F.desc("score"))
+    before = offsets(s.groupBy("_part").agg(F.sum("p").alias("_p"), F.sum("n").alias("_n")), ["_p", "_n"])
+    s = s.join(F.broadcast(before), "_part")  # a row for each range
+    return s.select("score", (F.sum("p").over(w("_part")) + F.col("_p")).alias("tp"), (F.sum("n").over(w("_part")) + F.col("_n")).alias("fp"))
 
 
 def roc(df: DataFrame, *by: str) -> DataFrame:
@@ -134,10 +144,21 @@ def precision_recall(df: DataFrame, *by: str) -> DataFrame:
 
 
 def area(curve: DataFrame, x: str, y: str, *by: str) -> DataFrame:
-    """(by, auc) by trapezoids over the points in order of x, then y."""
-    w = Window.partitionBy(*by).orderBy(x, y)
-    step = (F.col(x) - F.lag(x).over(w)) * (F.col(y) + F.lag(y).over(w)) / 2
-    return curve.select(*by, step.alias("_a")).groupBy(*by).agg(F.sum("_a").alias("auc"))
+    """(by, auc) by trapezoids over the points in order of x, then y.
+
+    Without groups, points are dealt out by ranges, and the first of a range follows the last of the one before.
+    """
+    xy = F.struct(F.col(x).alias("x"), F.col(y).alias("y"))
+    if by:
+        before = F.lag(xy).over(Window.partitionBy(*by).orderBy(x, y))
+    else:
+        curve = in_ranges(curve.select(x, y), x, y)
+        ends = curve.groupBy("_part").agg(F.max(xy).alias("_end"))
+        ends = ends.select("_part", F.lag("_end").over(Window.orderBy("_part")).alias("_end"))  # a row for each range
+        curve = curve.join(F.broadcast(ends), "_part")
+        before = F.coalesce(F.lag(xy).over(Window.partitionBy("_part").orderBy(x, y)), F.col("_end"))
+    steps = curve.select(*by, x, y, before.alias("_b"))
+    return steps.groupBy(*by).agg(F.sum((F.col(x) - F.col("_b.x")) * (F.col(y) + F.col("_b.y")) / 2).alias("auc"))
 
 
 def average_curve(curves: DataFrame, x: str, y: str, by: str, n: int = 1000) -> DataFrame:

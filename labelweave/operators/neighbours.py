@@ -8,38 +8,98 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: Rows of a block that are compared with another block's at a time.
-BLOCK = 1024
+from ..functions import kernels
+
+#: Rows of a block that are compared with another block's at a time, and fewest blocks of a table, so that there are tasks.
+BLOCK, FEWEST = 1024, 4
 #: Keeps the deal of blocks apart from samples that were drawn by the plain hash of the id.
 _SALT = 77
 
 
-def block_pairs(left: DataFrame, right: DataFrame, by: str, key: str, blocks: int) -> DataFrame:
-    """Every row of left beside every row of right of the same `by`, columns prefixed a_ and b_."""
-    block = lambda df: F.pmod(F.xxhash64(F.lit(_SALT), df[key]), F.lit(blocks)).cast("int")
-    each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = left.select(F.col(by).alias("_by"), block(left).alias("_i"), each.alias("_j"), *[F.col(c).alias(f"a_{c}") for c in left.columns])
-    b = right.select(F.col(by).alias("_by"), each.alias("_i"), block(right).alias("_j"), *[F.col(c).alias(f"b_{c}") for c in right.columns])
-    return a.join(b, ["_by", "_i", "_j"]).drop("_by", "_i", "_j")
+def blocks_for(n: int) -> int:
+    """Blocks of a dataset of n rows: none much over BLOCK rows, whatever n."""
+    return max(FEWEST, -(-n // BLOCK))
+
+
+def _blocks(df: DataFrame, by: str, blocks: int | None) -> int:
+    """blocks, or as many as the largest dataset needs; one count."""
+    return blocks or blocks_for(df.groupBy(by).count().agg(F.max("count")).first()[0] or 0)
+
+
+def _block(df: DataFrame, key: str, blocks: int) -> Column:
+    return F.pmod(F.xxhash64(F.lit(_SALT), df[key]), F.lit(blocks)).cast("int")
+
+
+def block_pairs(left: DataFrame, right: DataFrame, by: str, key: str, blocks: int, half: bool = False) -> DataFrame:
+    """Every row of left beside every row of right of the same `by`, columns prefixed a_ and b_.
+
+    half: left and right are one table; each unordered pair of rows comes once, and no row beside itself.
+    """
+    a, b = (df.select(F.col(by).alias("_by"), _block(df, key, blocks).alias("_own"), *[F.col(c).alias(f"{side}_{c}") for c in df.columns]) for df, side in ((left, "a"), (right, "b")))
+    over = F.sequence(F.col("_own") if half else F.lit(0), F.lit(blocks - 1))
+    under = F.sequence(F.lit(0), F.col("_own") if half else F.lit(blocks - 1))
+    a = a.withColumn("_j", F.explode(over)).withColumnRenamed("_own", "_i")
+    b = b.withColumn("_i", F.explode(under)).withColumnRenamed("_own", "_j")
+    out = a.join(b, ["_by", "_i", "_j"])
+    if half:
+        out = out.where((F.col("_i") < F.col("_j")) | (F.col(f"a_{key}") < F.col(f"b_{key}")))
+    return out.drop("_by", "_i", "_j")
+
+
+def _grid_of_blocks(df: DataFrame, by: str, key: str, value: str, blocks: int) -> DataFrame:
+    """Each row once for each block that its own one meets, as (by, i, j) with i <= j, and whether it is of block i."""
+    rows = df.select(F.col(by).alias("dataset"), _block(df, key, blocks).alias("_own"), F.col(key).alias("id"), F.col(value).alias("features"))
+    rows = rows.withColumn("_other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    return rows.select("dataset", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_first"), "id", "features")
+
+
+def _sides(p: pd.DataFrame) -> tuple[bool, list[np.ndarray], list[np.ndarray]]:
+    """Whether a pair of blocks is one block twice; ids and vectors of both, in the order of the ids."""
+    inner = p["_i"].iloc[0] == p["_j"].iloc[0]
+    both = [x.sort_values("id") for x in ((p, p) if inner else (p[p["_first"]], p[~p["_first"]]))]
+    return inner, [x["id"].to_numpy() for x in both], [np.stack(x["features"].to_numpy()) if len(x) else np.empty((0, 0)) for x in both]
 
 
-def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int = 4, other: DataFrame | None = None) -> DataFrame:
+def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None, other: DataFrame | None = None) -> DataFrame:
     """(by, i, j, d): f of all pairs, of one table both ways round with 0 for itself, or of df with other.
 
-    Of one table each unordered pair is computed once and mirrored.
+    Of one table each unordered pair is computed once and mirrored. Measures that kernels.BLOCKWISE knows are computed
+    block by block by numpy, others as expressions. Where f gives a struct (d, flip), flip is a column too, I for a row
+    and itself.
     """
+    blocks = _blocks(df, by, blocks)
+    if other is None and f in kernels.BLOCKWISE:
+        return _distances_of_blocks(df, kernels.BLOCKWISE[f], by, key, value, blocks)
     right = other if other is not None else df
-    pairs = block_pairs(df.select(by, key, value), right.select(by, key, value), by, key, blocks)
-    d = f(F.col(f"a_{value}"), F.col(f"b_{value}"))
-    out = pairs.select(F.col(f"a_{by}").alias(by), F.col(f"a_{key}").alias("i"), F.col(f"b_{key}").alias("j"), d.alias("d"), (F.lit(other is not None) | (F.col(f"a_{key}") < F.col(f"b_{key}"))).alias("_up"))
-    out = out.where("_up").drop("_up")
+    pairs = block_pairs(df.select(by, key, value), right.select(by, key, value), by, key, blocks, half=other is None)
+    out = pairs.select(F.col(f"a_{by}").alias(by), F.col(f"a_{key}").alias("i"), F.col(f"b_{key}").alias("j"), f(F.col(f"a_{value}"), F.col(f"b_{value}")).alias("d"))
+    flips = isinstance(out.schema["d"].dataType, T.StructType)
+    d = ["d.d", "d.flip"] if flips else ["d"]
     if other is not None:
-        return out
-    both = out.select(by, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"), "d").select(by, "p.i", "p.j", "d")
-    return both.unionByName(df.select(by, F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("d")))
+        return out.select(by, "i", "j", *d)
+    both = out.select(by, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"), "d").select(by, "p.i", "p.j", *d)
+    itself = df.select(by, F.col(key).alias("i"), F.col(key).alias("j"), F.lit(0.0).alias("d"), *([F.lit("I").alias("flip")] if flips else []))
+    return both.unionByName(itself)
+
+
+def _distances_of_blocks(df: DataFrame, f, by: str, key: str, value: str, blocks: int) -> DataFrame:
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        inner, ids, x = _sides(p)
+        n, m = len(ids[0]), len(ids[1])
+        d = np.concatenate([f(x[0][lo : lo + 64], x[1]) for lo in range(0, n, 64)]) if n and m else np.empty((n, m))
+        if inner:
+            np.fill_diagonal(d, 0.0)
+        i, j = np.repeat(ids[0], m), np.tile(ids[1], n)
+        if not inner:
+            i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d.ravel(), d.ravel()])
+        return pd.DataFrame({by: pd.Series([p["dataset"].iloc[0]] * len(i), dtype=object), "i": i, "j": j, "d": d.ravel()})
+
+    kinds = [df.schema[c].dataType.simpleString() for c in (by, key)]
+    return _grid_of_blocks(df, by, key, value, blocks).groupBy("dataset", "_i", "_j").applyInPandas(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[1]}, d double")
 
 
 def nearest(edges: DataFrame, k: int = 5, symmetric: str | None = None, by: str = "dataset") -> DataFrame:
@@ -60,44 +120,43 @@ def nearest(edges: DataFrame, k: int = 5, symmetric: str | None = None, by: str
 
 
 def _nearest_of_blocks(k: int):
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        a, b = p[p["side"] == 0].sort_values("id"), p[p["side"] == 1].sort_values("id")
-        if not len(a) or not len(b):
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "i", "j", "d")})
-        x, y, j = np.stack(a["features"].to_numpy()), np.stack(b["features"].to_numpy()), b["id"].to_numpy()
-        rows, m = [], min(k, len(b))
+    def closest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """For each row of x the k nearest of y, of equal ones the first; both in the order of their ids."""
+        out, m = [], min(k, len(y))
         for lo in range(0, len(x), 64):
-            d = ((x[lo : lo + 64, None, :] - y[None, :, :]) ** 2).sum(2)
+            d = kernels.BLOCKWISE[kernels.squared_euclidean](x[lo : lo + 64], y)
             for r, line in enumerate(d):
-                limit = np.partition(line, m - 1)[m - 1]
-                near = np.flatnonzero(line <= limit)
-                near = near[np.lexsort((j[near], line[near]))][:m]
-                rows.append((np.full(m, lo + r), near, line[near]))
-        i, near, d = (np.concatenate(c) for c in zip(*rows))
-        return pd.DataFrame({"dataset": pd.Series([p["dataset"].iloc[0]] * len(i), dtype=object), "i": a["id"].to_numpy()[i], "j": j[near], "d": d})
+                near = np.flatnonzero(line <= np.partition(line, m - 1)[m - 1])
+                near = near[np.argsort(line[near], kind="stable")][:m]
+                out.append((np.repeat(ids[lo + r : lo + r + 1], m), others[near], line[near]))
+        return out
+
+    def run(p: pd.DataFrame) -> pd.DataFrame:
+        inner, ids, x = _sides(p)
+        rows = []
+        if len(ids[0]) and len(ids[1]):
+            rows = closest(ids[0], x[0], ids[1], x[1]) + ([] if inner else closest(ids[1], x[1], ids[0], x[0]))
+        if not rows:
+            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "i", "j", "d")})
+        i, j, d = (np.concatenate(c) for c in zip(*rows))
+        return pd.DataFrame({"dataset": pd.Series([p["dataset"].iloc[0]] * len(i), dtype=object), "i": i, "j": j, "d": d})
 
     return run
 
 
-def knn(df: DataFrame, k: int = 5, symmetric: str | None = None, blocks: int = 4) -> DataFrame:
-    """nearest() by squared Euclidean distance of (dataset, id, features), fused with the distances.
+def knn(df: DataFrame, k: int = 5, symmetric: str | None = None, blocks: int | None = None) -> DataFrame:
+    """nearest() by squared Euclidean distance of (dataset, id, features), fused with the distances. Ids are of any type that has an order.
 
-    Each pair of blocks gives only the k nearest of each row, so what is shuffled is k times blocks for a row, not all
-    pairs. Grouped Arrow batches: subtracting and squaring blocks of vectors is what numpy does best.
+    There are as many blocks as the largest dataset needs (one count), so what a task holds doesn't grow with it. Each
+    pair of blocks meets once and gives only the k nearest of each row, so what is shuffled is k times blocks for a row,
+    not all pairs. Grouped Arrow batches: subtracting and squaring blocks of vectors is what numpy does best.
     """
-    kind = df.schema["dataset"].dataType.simpleString()
-    df = df.select("dataset", F.col("id").cast("long").alias("id"), "features")
-    own, each = F.pmod(F.xxhash64(F.lit(_SALT), F.col("id")), F.lit(blocks)).cast("int"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    a = df.select("dataset", own.alias("_i"), each.alias("_j"), F.lit(0).alias("side"), "id", "features")
-    b = df.select("dataset", each.alias("_i"), own.alias("_j"), F.lit(1).alias("side"), "id", "features")
-    part = a.unionByName(b).groupBy("dataset", "_i", "_j").applyInPandas(_nearest_of_blocks(k), f"dataset {kind}, i long, j long, d double")
+    kinds = [df.schema[c].dataType.simpleString() for c in ("dataset", "id")]
+    blocks = _blocks(df, "dataset", blocks)
+    part = _grid_of_blocks(df, "dataset", "id", "features", blocks).groupBy("dataset", "_i", "_j").applyInPandas(_nearest_of_blocks(k), f"dataset {kinds[0]}, i {kinds[1]}, j {kinds[1]}, d double")
     return nearest(part, k, symmetric)
 
 
-def blocks_for(n: int) -> int:
-    return max(1, -(-n // BLOCK))
-
-
 def report(edges: DataFrame, truth: DataFrame, pred: DataFrame | None = None, prop: DataFrame | None = None, k: int = 10, by: str = "dataset", errors: bool = False) -> DataFrame:
     """(by, id, truth, prediction, propagated, neighbours) for ids with a truth; neighbours is an array, nearest first, N/A where nothing is known.
 

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .storage import numbered
+
 
 def order_of(key: str, seed: int = 0) -> Column:
     """A reproducible order by chance: MD5 of seed and key."""
@@ -22,22 +24,20 @@ def balanced(df: DataFrame, label: str = "label", key: str = "id", count: int |
     """Classes of equal size. Without a count, the size of the smallest; with one, larger classes are sampled down to it
     and smaller ones keep all their rows and repeat some by chance.
 
-    A class is cut in each partition before the shuffle (row_number <= n), so it never meets in one task as a whole.
+    Rows are numbered by ranges, so no class meets in one task as a whole.
     """
     sizes = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))
     if count is None:
         count = sizes.agg(F.min("_n")).first()[0] or 0
-    w = Window.partitionBy(label).orderBy(order_of(key, seed), key)
-    kept = df.withColumn("_k", F.row_number().over(w)).where(F.col("_k") <= count)
+    kept = numbered(df, "_k", label, order_of(key, seed), key).where(F.col("_k") <= count)
     lack = sizes.where(F.col("_n") < count).select(label, "_n", F.explode(F.sequence(F.lit(1), F.lit(count) - F.col("_n"))).alias("_r"))
     pick = lack.select(label, (F.pmod(F.xxhash64(label, "_r", F.lit(seed)), F.col("_n")) + 1).cast("int").alias("_k"))
     return kept.unionByName(kept.join(pick, [label, "_k"]).select(kept.columns)).drop("_k")
 
 
 def folds(df: DataFrame, k: int, label: str = "label", key: str = "id", seed: int = 0) -> DataFrame:
-    """df with fold, 0 to k - 1, each class spread evenly."""
-    w = Window.partitionBy(label).orderBy(order_of(key, seed), key)
-    return df.withColumn("fold", ((F.row_number().over(w) - 1) % k).cast("int"))
+    """df with fold, 0 to k - 1, each class spread evenly. Rows are numbered by ranges, so no class meets in one task as a whole."""
+    return numbered(df, "_n", label, order_of(key, seed), key).withColumn("fold", ((F.col("_n") - 1) % k).cast("int")).drop("_n")
 
 
 def drawn_class(u: Column, priors: list[float]) -> Column:
