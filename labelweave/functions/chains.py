@@ -30,8 +30,8 @@ def from_boundary(points: Column) -> Column:
     by_step = F.array(*map(F.lit, BY_STEP))
     return F.transform(
         step,
-        lambda s: F.when(F.greatest(F.abs(s["a"]), F.abs(s["b"])) > 1, _error("curve is not 8-connected"))
-        .when((s["a"] == 0) & (s["b"] == 0), _error("curve is degenerate"))
+        lambda s: F.when(F.greatest(F.abs(s["a"]), F.abs(s["b"])) > 1, _error("a step is not 8-connected"))
+        .when((s["a"] == 0) & (s["b"] == 0), _error("two points in a row are the same"))
         .otherwise(F.get(by_step, 3 * s["a"] + s["b"] + 4)),
     )
 

@@ -13,6 +13,9 @@ from pyspark.sql import functions as F
 
 from ..functions import chains
 
+#: Most words of a scale that selection compares with each other on the driver.
+MOST = 5000
+
 
 def words(codes: DataFrame, n: int, normalise: bool = False, training: bool = True) -> DataFrame:
     """(id, scale, word) rows of the windows of (id, scale, code)."""
@@ -109,8 +112,11 @@ def select_entries(d: np.ndarray, method: str, threshold: float = 3, size: int =
 def train(codes: DataFrame, n: int, count: int, selection: str = "tf", method: str = "vq", normalise: bool = False, labels: DataFrame | None = None, **kwargs) -> DataFrame:
     """Dictionary (scale, word_idx, word, count). selection: tf, tfidf-embryos (each id a group) or tfidf-classes (labels: id, label).
 
-    Counting is distributed; the best `count` words of each scale, a parameter, come to the driver for selection.
+    Counting is distributed; the best `count` words of each scale, a parameter, come to the driver for selection, whose
+    work grows with their square.
     """
+    if not count or count > MOST:
+        raise ValueError(f"count is a number up to {MOST}")
     rows = words(codes, n, normalise)
     if selection == "tf":
         best = top_words(histogram(rows), count, F.col("count").cast("double"))

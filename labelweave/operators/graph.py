@@ -21,7 +21,7 @@ from .storage import bucketed, kept
 
 #: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are iterated until no score
 #: moves by more than CLOSE in a step, for so many steps at most, beyond which it is an error.
-DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-9, 5000
+DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-8, 5000
 
 
 def edge_weights(edges: DataFrame, bandwidth: float) -> DataFrame:

@@ -19,6 +19,12 @@ def aligned(left: DataFrame, right: DataFrame, on: str | list[str] = "id") -> Da
     return left.join(right, keys)
 
 
+def with_truth(pred: DataFrame, truth: DataFrame, on: str | list[str] = "id") -> DataFrame:
+    """Predictions with the truth of their keys; one that has none is an error, further truth goes."""
+    keys = [on] if isinstance(on, str) else on
+    return aligned(pred, truth.join(pred.select(*keys), keys, "left_semi"), keys)
+
+
 def select_ordered(data: DataFrame, values: DataFrame, field: str = "id", order: str = "ord") -> DataFrame:
     """Rows of data whose field is among values (field, ord), in the order of ord; what is missing is skipped. field must be unique in data.
 

@@ -105,3 +105,30 @@ def component_areas(mask: Column) -> Column:
 def boundary(mask: Column) -> Column:
     """Array of (x, y) of the longest contour."""
     return _per_mask("array<struct<x:int,y:int>>", lambda m: [{"x": x, "y": y} for x, y in contour(m)])(mask)
+
+
+def _lanczos(n: int, size: int) -> np.ndarray:
+    """Weights by which n pixels become `size`: a windowed sinc of three lobes, widened where the image shrinks."""
+    scale = n / size
+    reach = 3 * max(scale, 1.0)
+    at = (np.arange(size) + 0.5) * scale
+    x = (np.arange(n)[None, :] + 0.5 - at[:, None]) / max(scale, 1.0)
+    w = np.where(np.abs(x) * max(scale, 1.0) < reach, np.sinc(x) * np.sinc(x / 3), 0.0)
+    return w / w.sum(1, keepdims=True)
+
+
+def resize(image: np.ndarray, height: int, width: int) -> np.ndarray:
+    """A gray image of 0 to 255 resampled without aliasing, first along rows, then along columns."""
+    step = lambda x: np.clip(np.floor(x + 0.5), 0, 255)
+    return step(_lanczos(image.shape[0], height) @ step(image @ _lanczos(image.shape[1], width).T))
+
+
+def scaled_masks(image: Column, scale: int, height: int = 400, width: int = 800, threshold: float = 127) -> Column:
+    """Gray images shrunk to height / scale by width / scale, upside down, and where they are above the threshold."""
+
+    @F.pandas_udf("array<array<boolean>>")
+    def of(images: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        for s in images:
+            yield pd.Series([None if m is None else (resize(np.array([list(r) for r in m], float), height // scale, width // scale)[::-1] > threshold).tolist() for m in s])
+
+    return of(image)

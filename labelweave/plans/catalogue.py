@@ -203,15 +203,27 @@ def w1_knn_by_dataset(spark, sf_dir):
 
 
 @query(f"""
-    WITH {knn_sql(4)} SELECT e.i AS id, t.label::VARCHAR AS truth, string_agg(e.j || ':' || CASE WHEN e.j % 2 = 0 THEN o.label::VARCHAR ELSE 'N/A' END, ',' ORDER BY e.d, e.j) AS neighbours
-    FROM e JOIN v t ON t.id = e.i JOIN v o ON o.id = e.j WHERE e.i % 2 = 0 GROUP BY 1, 2""")
-def w3_report(spark, sf_dir):
+    WITH {knn_sql(4)}, t AS (SELECT vec_id AS id, CASE WHEN label < 7 THEN label END AS label FROM embeddings)
+    SELECT e.i AS id, t.label::VARCHAR AS truth, string_agg(e.j || ':' || coalesce(o.label::VARCHAR, 'N/A'), ',' ORDER BY e.d, e.j) AS neighbours
+    FROM e JOIN t ON t.id = e.i JOIN t o ON o.id = e.j WHERE t.label IS NOT NULL GROUP BY 1, 2""")
+def w3_report_known(spark, sf_dir):
+    """Classes from 7 on are unknown: their vectors get no row, as in every report, and are N/A among neighbours."""
     v = vectors(spark, sf_dir)
     near = neighbours.knn(v, 4)
-    r = neighbours.report(near, v.where("id % 2 = 0").select("dataset", "id", "label"), k=4)
+    r = neighbours.report(near, v.where("label < 7").select("dataset", "id", "label"), k=4)
     return r.select("id", "truth", F.array_join(F.transform("neighbours", lambda x: F.concat_ws(":", x["id"], x["truth"])), ",").alias("neighbours"))
 
 
+_BIG = "200000000000000000000"
+
+
+@query(f"WITH {knn_sql(5)} SELECT ({_BIG}::HUGEINT + i)::VARCHAR AS i, ({_BIG}::HUGEINT + j)::VARCHAR AS j, round(d, 6) AS d FROM e")
+def w1_knn_of_composite_ids(spark, sf_dir):
+    """Ids as conversion makes them, beyond 64 bits."""
+    v = vectors(spark, sf_dir).withColumn("id", (F.lit(_BIG).cast("decimal(38,0)") + F.col("id")).cast("decimal(38,0)"))
+    return rounded(neighbours.knn(v, 5), "d").select(F.col("i").cast("string").alias("i"), F.col("j").cast("string").alias("j"), "d")
+
+
 @query("SELECT user_id AS id, event_type AS class FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY s DESC, event_type) AS n FROM (SELECT user_id, event_type, sum(value::DECIMAL(18,2)) AS s FROM events GROUP BY 1, 2)) WHERE n = 1")
 def w4_argmax(spark, sf_dir):
     s = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("class")).agg(F.sum(F.col("value").cast("decimal(18,2)")).alias("prob"))
@@ -277,7 +289,13 @@ def w16_auc(spark, sf_dir):
     return rounded(metrics.area(metrics.roc(_scored(spark, sf_dir)), "fpr", "tpr"), "auc")
 
 
-@query()
+@query(f"""WITH s AS (SELECT source, score, sum(y) AS p, sum(1 - y) AS n FROM ({_SCORED}) GROUP BY ALL),
+    r AS (SELECT source, sum(n) OVER w / sum(n) OVER g AS x, sum(p) OVER w / sum(p) OVER g AS y, sum(p) OVER g AS np, sum(n) OVER g AS nn FROM s WINDOW w AS (PARTITION BY source ORDER BY score DESC ROWS UNBOUNDED PRECEDING), g AS (PARTITION BY source)),
+    c AS (SELECT source, x, y FROM r WHERE np > 0 AND nn > 0 UNION ALL SELECT DISTINCT source, 0.0, 0.0 FROM r WHERE np > 0 AND nn > 0),
+    q AS (SELECT source, x AS x1, y AS y1, lag(x) OVER w AS x0, lag(y) OVER w AS y0 FROM c WINDOW w AS (PARTITION BY source ORDER BY x, y)),
+    v AS (SELECT source, k, arg_min(CASE WHEN k = 0 THEN 0.0 ELSE y0 + (y1 - y0) * (k / 100.0::DOUBLE - x0) / (x1 - x0) END, x0) AS v
+          FROM q JOIN (SELECT unnest(range(101)) AS k) ON k <= floor(x1 * 100) AND (k > floor(x0 * 100) OR k = 0) WHERE x0 IS NOT NULL AND (x1 > x0 OR k = 0) GROUP BY 1, 2)
+    SELECT round(k / 100.0::DOUBLE, 6) AS fpr, round(avg(v), 6) AS tpr FROM v GROUP BY k""")
 def w17_average_curve(spark, sf_dir):
     return rounded(metrics.average_curve(metrics.roc(_scored(spark, sf_dir), "source"), "fpr", "tpr", "source", 101), "fpr", "tpr")
 
@@ -450,7 +468,7 @@ def k2_hamming(spark, sf_dir):
     return rounded(c.select(F.col("c_custkey").alias("id"), kernels.hamming(a, b).alias("hamming"), kernels.positional_jaccard(a, b).alias("jaccard")), "jaccard")
 
 
-@query()
+@query("SELECT p_partkey AS id, damerau_levenshtein(p_name, p_type)::INTEGER AS d FROM part")
 def k4_damerau_levenshtein(spark, sf_dir):
     p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("id"), kernels.damerau_levenshtein(F.col("p_name"), F.col("p_type")).alias("d"))
@@ -487,7 +505,9 @@ def w11_coordinates(spark, sf_dir):
     return c.where("k > 0").select("id", "k", F.col("p.x").cast("long").alias("x"), F.col("p.y").cast("long").alias("y"))
 
 
-@query()
+@query(f"""WITH RECURSIVE c AS ({_CODES}), u AS (SELECT id, code, 1 AS k, code[1]::INTEGER AS u, code[1]::VARCHAR AS codes FROM c
+        UNION ALL SELECT id, code, k + 1, n, codes || ',' || n FROM (SELECT *, code[k + 1]::INTEGER + 8 * round_even((u - code[k + 1]::INTEGER) / 8.0, 0)::INTEGER AS n FROM u WHERE k < 32))
+    SELECT id, codes FROM u WHERE k = 32""")
 def w13_unwrapped(spark, sf_dir):
     return _codes(spark, sf_dir).select("id", F.array_join(chains.unwrapped(chains.from_string(F.col("code"))).cast("array<string>"), ",").alias("codes"))
 
@@ -550,10 +570,15 @@ def c3_medoids(spark, sf_dir):
     return dictionary.train(_codes(spark, sf_dir), WORD, 200, "tf", "cluster", size=20)
 
 
-@query()
+@query(f"""WITH {_TOP}, p AS (SELECT id, substr(code || substr(code, 1, {WORD}), k, {WORD}) AS word FROM ({_CODES}), (SELECT unnest(range(1, 33)) AS k)),
+    d AS (SELECT p.word, top.rank, hamming(p.word, top.word) AS d FROM (SELECT DISTINCT word FROM p) p, top), m AS (SELECT *, min(d) OVER (PARTITION BY word) AS m FROM d),
+    t AS (SELECT word, rank, 1.0 / count(*) OVER (PARTITION BY word) AS share FROM m WHERE d = m), b AS (SELECT id, rank, sum(share) AS v FROM p JOIN t USING (word) GROUP BY 1, 2)
+    SELECT i.id, 's02i' || lpad(top.rank::VARCHAR, 3, '0') AS feature, round(coalesce(v / 32, 0.0) + 1e-9, 6) AS value FROM (SELECT doc_id AS id FROM documents) i CROSS JOIN top LEFT JOIN b ON b.id = i.id AND b.rank = top.rank""")
 def c7_features(spark, sf_dir):
     c, d = _codes(spark, sf_dir), _entries(spark, sf_dir)
-    return dictionary.vectors(dictionary.bag_of_words(c, d, WORD), d)[1].select("id", F.size("features").alias("n"), F.round(kernels.total(F.col("features")), 6).alias("total"))
+    names, f = dictionary.vectors(dictionary.bag_of_words(c, d, WORD), d)
+    out = f.select("id", F.posexplode("features").alias("k", "value"))
+    return out.select("id", F.get(F.array(*map(F.lit, names)), F.col("k")).alias("feature"), F.round(F.col("value") + 1e-9, 6).alias("value"))
 
 
 # ---- propagation
@@ -567,8 +592,8 @@ def _nodes_sql(source: str) -> str:
         FROM v, (SELECT unnest(range(10))::INTEGER AS c) c)"""
 
 
-def _harmonic_sql(steps: int) -> str:
-    return f"""WITH RECURSIVE {knn_sql(5, V, 'union')}, w AS (SELECT i, j, exp(-d * {_BANDWIDTH}) AS w FROM e WHERE i <> j), deg AS (SELECT i AS id, sum(w) AS deg FROM w GROUP BY 1), {_nodes_sql(V)},
+def _harmonic_sql(steps: int, source: str = V) -> str:
+    return f"""WITH RECURSIVE {knn_sql(5, source, 'union')}, w AS (SELECT i, j, exp(-d * {_BANDWIDTH}) AS w FROM e WHERE i <> j), deg AS (SELECT i AS id, sum(w) AS deg FROM w GROUP BY 1), {_nodes_sql(source)},
         f AS (SELECT 0 AS it, id, c, 0.0::DOUBLE AS f FROM n
               UNION ALL SELECT s.it + 1, n.id, n.c, (s.s + exp(n.p) * n.y) / (deg.deg + exp(n.p))
               FROM (SELECT f.it, w.i, f.c, sum(w.w * f.f) AS s FROM f JOIN w ON w.j = f.id WHERE f.it < {steps} GROUP BY 1, 2, 3) s JOIN n ON n.id = s.i AND n.c = s.c JOIN deg ON deg.id = n.id)"""
@@ -598,7 +623,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.decided(scores, CLASSES).join(v.select("id", F.col("label").alias("truth"), F.expr(_KNOWN).alias("known")), "id").select("id", "truth", "pred", "known")
 
 
-@query()
+@query(_harmonic_sql(60, V3) + " SELECT (id % 3)::INTEGER AS dataset, id, c::INTEGER AS class, round(f, 6) AS score FROM f WHERE it = 60")
 def g3_harmonic_exact(spark, sf_dir):
     v = by_three(spark, sf_dir)
     s = experiment.propagate(_pred(v), neighbours.knn(v, 5, "union"), CLASSES, _BANDWIDTH)
@@ -624,20 +649,40 @@ def _hard(spark, sf_dir):
     return nodes, graph.edge_weights(neighbours.knn(v, 12, "union"), _BANDWIDTH)
 
 
-@query()
+#: As the solution of the hard system is the mean over neighbours everywhere, so many steps come within the digits that are compared.
+_HARD_STEPS = 400
+_HARD_SQL = f"""WITH RECURSIVE {knn_sql(12, V3, 'union')}, w AS (SELECT i, j, exp(-d * {_BANDWIDTH}) AS w FROM e WHERE i <> j), deg AS (SELECT i AS id, sum(w) AS deg FROM w GROUP BY 1), {_nodes_sql(V3)},
+        f AS (SELECT 0 AS it, id, c, y AS f FROM n
+              UNION ALL SELECT s.it + 1, n.id, n.c, CASE WHEN n.id % 5 = 0 THEN n.y ELSE s.s / deg.deg END
+              FROM (SELECT f.it, w.i, f.c, sum(w.w * f.f) AS s FROM f JOIN w ON w.j = f.id WHERE f.it < {_HARD_STEPS} GROUP BY 1, 2, 3) s JOIN n ON n.id = s.i AND n.c = s.c JOIN deg ON deg.id = n.id),
+        h AS (SELECT (id % 3)::INTEGER AS dataset, id, c::INTEGER AS class, f FROM f WHERE it = {_HARD_STEPS})"""
+
+
+@query(_HARD_SQL + " SELECT dataset, id, class, round(f, 6) AS score FROM h")
 def g1_hard_labels(spark, sf_dir):
     s = graph.solve_exact(*_hard(spark, sf_dir), "hard")
     return rounded(s.select("dataset", "id", F.posexplode("scores").alias("class", "score")), "score")
 
 
-@query()
+@query(_HARD_SQL + """, q AS (SELECT (id % 3)::INTEGER AS dataset, c::INTEGER AS class, sum(y) + 1 AS q FROM n WHERE id % 5 = 0 GROUP BY ALL), m AS (SELECT dataset, class, sum(f) AS m FROM h WHERE id % 5 <> 0 GROUP BY ALL)
+        SELECT dataset, id, class, round(f * coalesce(q / nullif(m, 0), 0), 6) AS score FROM h JOIN m USING (dataset, class) JOIN q USING (dataset, class) WHERE id % 5 <> 0""")
 def g2_class_mass(spark, sf_dir):
     nodes, edges = _hard(spark, sf_dir)
     s = graph.class_mass(graph.solve_exact(nodes, edges, "hard"), nodes)
     return rounded(s.select("dataset", "id", F.posexplode("scores").alias("class", "score")), "score")
 
 
-@query()
+_GRID_STEPS = 60
+
+
+@query(f"""WITH RECURSIVE {knn_sql(5, V3, 'union')}, {_nodes_sql(V3)}, g AS (SELECT b, u FROM (SELECT unnest([0.5, 1.0, 2.0, 4.0])::DOUBLE AS b), (SELECT unnest([1.0, 2.0])::DOUBLE AS u)),
+        w AS (SELECT b, i, j, exp(-d * b) AS w FROM e, (SELECT DISTINCT b FROM g) WHERE i <> j), deg AS (SELECT b, i AS id, sum(w) AS deg FROM w GROUP BY 1, 2),
+        f AS (SELECT 0 AS it, b, u, id, c, 0.0::DOUBLE AS f FROM n, g
+              UNION ALL SELECT s.it + 1, s.b, s.u, n.id, n.c, (s.s + exp(s.u * n.p) * n.y) / (deg.deg + exp(s.u * n.p))
+              FROM (SELECT f.it, f.b, f.u, w.i, f.c, sum(w.w * f.f) AS s FROM f JOIN w ON w.j = f.id AND w.b = f.b WHERE f.it < {_GRID_STEPS} GROUP BY 1, 2, 3, 4, 5) s JOIN n ON n.id = s.i AND n.c = s.c JOIN deg ON deg.id = n.id AND deg.b = s.b),
+        p AS (SELECT b, u, id, c FROM f WHERE it = {_GRID_STEPS} QUALIFY row_number() OVER (PARTITION BY b, u, id ORDER BY f DESC, c) = 1),
+        a AS (SELECT b, u, v.dataset, sum((p.c = v.label)::INTEGER) / (count(*) + 1e-10) AS a FROM p JOIN v ON v.id = p.id GROUP BY ALL)
+    SELECT b AS bandwidth, u AS unary_weight, round(avg(a), 6) AS mean, round(stddev_pop(a), 6) AS std FROM a GROUP BY ALL""")
 def g8_grid(spark, sf_dir):
     v = by_three(spark, sf_dir)
     edges = neighbours.knn(v, 5, "union")
@@ -689,8 +734,25 @@ def a21_projections(spark, sf_dir):
     return rounded(side("column", kernels.column_means(F.col("image"))).unionByName(side("row", kernels.row_means(F.col("image")))), "mean")
 
 
-@query()
+@query(f"""WITH RECURSIVE {_PIXELS}, m AS (SELECT id, y * 8 + x AS k, y, x FROM p WHERE v),
+    r AS (SELECT id, k, k AS root FROM m UNION SELECT n.id, n.k, r.root FROM r JOIN m a ON a.id = r.id AND a.k = r.k JOIN m n ON n.id = a.id AND abs(n.x - a.x) + abs(n.y - a.y) = 1),
+    c AS (SELECT id, k, min(root) AS root FROM r GROUP BY ALL), s AS (SELECT id, root, count(*) AS n FROM c GROUP BY ALL)
+    SELECT i.id, (SELECT string_agg(CASE WHEN coalesce(s.n, 0) >= 4 THEN '1' ELSE '0' END, '' ORDER BY q.k) FROM (SELECT unnest(range(64)) AS k) q LEFT JOIN c ON c.id = i.id AND c.k = q.k LEFT JOIN s ON s.id = i.id AND s.root = c.root) AS opened,
+           coalesce((SELECT string_agg(s.n::VARCHAR, ',' ORDER BY s.root) FROM s WHERE s.id = i.id), '') AS areas
+    FROM (SELECT vec_id AS id FROM embeddings) i""")
 def i1_area_open(spark, sf_dir):
-    m = _masks(spark, sf_dir).select("id", "mask", raster.area_open(F.col("mask"), 4).alias("open"), raster.component_areas(F.col("mask")).alias("areas"))
-    pixels = lambda c: F.size(F.filter(F.flatten(c), lambda x: x))
-    return m.select("id", pixels(F.col("mask")).alias("before"), pixels(F.col("open")).alias("after"), F.array_join(F.col("areas").cast("array<string>"), ",").alias("areas"))
+    """Components of four pixels or more, and the areas of all in reading order."""
+    m = _masks(spark, sf_dir).select("id", raster.area_open(F.col("mask"), 4).alias("open"), raster.component_areas(F.col("mask")).alias("areas"))
+    return m.select("id", F.array_join(F.flatten("open").cast("array<int>").cast("array<string>"), "").alias("opened"), F.array_join(F.col("areas").cast("array<string>"), ",").alias("areas"))
+
+
+@query(f"""WITH v AS ({V3}), d AS (SELECT dataset, i, j, unnest([{{d: list_distance(a, b) ** 2, flip: 'I'}}, {{d: list_distance(a, {_flipped('(7 - k // 8)', '(k % 8)')}) ** 2, flip: 'V'}},
+        {{d: list_distance(a, {_flipped('(k // 8)', '(7 - k % 8)')}) ** 2, flip: 'H'}}, {{d: list_distance(a, {_flipped('(7 - k // 8)', '(7 - k % 8)')}) ** 2, flip: 'X'}}]) AS t
+        FROM (SELECT x.dataset, x.id AS i, y.id AS j, x.f AS a, y.f AS b FROM v x JOIN v y ON x.dataset = y.dataset AND x.id <> y.id))
+    SELECT dataset, i, j, round(t.d, 6) AS d, t.flip AS flip FROM d QUALIFY row_number() OVER (PARTITION BY i, j ORDER BY t.d, t.flip) = 1
+    UNION ALL SELECT dataset, id, id, 0.0, 'I' FROM v""")
+def j13_images(spark, sf_dir):
+    """Images of a dataset with each other: the least distance over four ways to lay one on the other, and which it is."""
+    image = F.transform(F.sequence(F.lit(0), F.lit(7)), lambda r: F.slice("features", r * 8 + 1, 8))
+    v = by_three(spark, sf_dir).select("dataset", "id", image.alias("image"))
+    return rounded(neighbours.distances(v, lambda a, b: kernels.image_distance(a, b, "SSD", rotations=True), value="image"), "d")

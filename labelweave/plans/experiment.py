@@ -26,7 +26,7 @@ def synthetic(table: DataFrame, meta: dict, coarse_c: list[float], k: int = 5, p
     """From a generated mixture to the evaluation of the classifier and of propagation; the first half trains, the second tests."""
     labels = sorted(meta["class_labels"])
     arrays = table.select("id", F.col("class").alias("label"), F.array(*meta["feature_names"]).alias("features"), F.array(*meta["weight_names"]).alias("weights"))
-    half = F.pmod(F.xxhash64("id"), F.lit(2))
+    half = F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(2))
     model = classify.train(arrays.where(half == 0), coarse_c, seed=seed)
     test = arrays.where(half == 1).withColumn("dataset", F.lit("test"))
     pred = classify.predict(model, test, labels).withColumn("dataset", F.lit("test"))

@@ -122,6 +122,23 @@ def read_variants(spark: SparkSession, paths: list[str]) -> DataFrame:
     return out
 
 
+def matching(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that a pattern of the store matches, in order; none is an error."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at) or []
+    if not (paths := sorted(f.getPath().toString() for f in found)):
+        raise RuntimeError(f"no input files match {pattern}")
+    return paths
+
+
+def read_outlines(spark: SparkSession, blur: str, objects: str, components: str, measure: str = "measure") -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Side tables of outlines: (obj, measure) of a list file, (obj, bbox) and (bbox, cut) of files separated by semicolons."""
+    csv = lambda p: (d := spark.read.option("sep", ";").option("header", True).csv(p)).toDF(*[c.strip().lower() for c in d.columns])
+    table = read_list(spark, blur, check=False)[1]
+    cut = F.lower(F.trim("cut")).isin("1", "true", "t", "yes")
+    return table.select("obj", F.col(measure).cast("double").alias("measure")), csv(objects).select("obj", "bbox"), csv(components).select("bbox", cut.alias("cut"))
+
+
 #: Stage names and their labels; None and what is left out below marks rows to drop. Fixed values.
 STAGES = {"unknown": None, "stuff": None, "damaged": None, "unfertilized": None, "": None, "1-3": None, "4-6": 1, "7-8": 2, "9-10": 3, "11-12": 4, "13-14": 5, "15-16": 6}
 #: Numbers of repeated scans; fixed values.
