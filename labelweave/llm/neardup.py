@@ -228,8 +228,8 @@ def classes(docs: DataFrame, percent: int = 75, size: int = 5) -> DataFrame:
     members = written(members.join(reps.select("node", "n_shingles", "registers"), "node"), "members")
     met = members.withColumn("other", F.explode("others"))
     met = met.select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "comp", "n_shingles", "registers")
-    # few bytes but much work: as many tasks as there are, not as few as their bytes need
-    maybe = met.repartitionByRange(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(lambda p: _maybe(p, percent), "cluster long, i int, j int, node long")
+    # written, as ranges are found by reading the rows twice; few bytes but much work: as many tasks as there are, not as few as their bytes need
+    maybe = written(met, "met").repartitionByRange(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(lambda p: _maybe(p, percent), "cluster long, i int, j int, node long")
     again = written(maybe, "maybe").join(members.drop("others", "cluster"), "node").join(active, "node")
     more = again.repartitionByRange(tasks, "cluster", "i", "j").groupBy("cluster", "i", "j").applyInPandas(lambda p: _met(p, percent, size), "a long, b long")
 
