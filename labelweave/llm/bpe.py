@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bucketed, id_text, segment_keys, segment_of
+from .common import bucketed, id_text, segment_keys, segment_of, small_batches
 
 #: Characters of a chunk (a longer document is a chunk by itself), and rows that the encoder packs together.
 CHUNK, PACK = 32_000_000, 400_000
@@ -51,7 +51,7 @@ def _squeeze(a) -> bytes:
     import zstandard
 
     planes = np.ascontiguousarray(np.asarray(a, np.uint32)).view(np.uint8).reshape(-1, 4).T
-    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).tobytes())
+    return zstandard.ZstdCompressor(level=3).compress(np.ascontiguousarray(planes).reshape(-1))
 
 
 def _spread(b: bytes) -> np.ndarray:
@@ -87,9 +87,12 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, kind: pa.DataType)
         words: dict[str, int] = {}
         flat, n, names = array.array("I"), array.array("I"), list(keys)
         whole = np.concatenate(stream) if stream else np.empty(0, np.uint32)
+        keys.clear(), stream.clear()  # the list and the one array hold all of them
         order = np.argsort(-np.bincount(whole, minlength=len(names)), kind="stable")  # frequent segments get small numbers, which pack well
         rank = np.empty(len(names), np.uint32)
         rank[order] = np.arange(len(names), dtype=np.uint32)
+        if len(whole):
+            np.take(rank, whole, out=whole, mode="clip")
         for k in map(names.__getitem__, order):
             parts = (" " + k,) if k.isalpha() else split(segment_of(k))  # letters behind a space are one pre-token
             n.append(len(parts))
@@ -102,11 +105,10 @@ def _chunks(batches: Iterator[pa.RecordBatch], pattern: str, kind: pa.DataType)
             raise OverflowError("a chunk has too many pre-tokens, a task too many chunks, or the job too many tasks to be numbered")
         one = pa.RecordBatch.from_arrays([
             pa.array([(task << _SEQ) + seq], pa.int64()), pa.array([list(words)], pa.list_(pa.string())), pa.array([_squeeze(flat)], pa.binary()), pa.array([_squeeze(n)], pa.binary()),
-            pa.array([ids], pa.list_(kind)), pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(rank[whole])], pa.binary())],
+            pa.array([ids], pa.list_(kind)), pa.array([_squeeze(lengths)], pa.binary()), pa.array([_squeeze(whole)], pa.binary())],
             ["chunk", "words", "part", "parts", "doc_ids", "lengths", "stream"])
         seq, size = seq + 1, 0
-        for x in (ids, lengths, stream, keys):
-            x.clear()
+        ids.clear(), lengths.clear()
         return one
 
     for b in batches:
@@ -178,7 +180,8 @@ def round_trip(docs: DataFrame, rank_file: str, pattern: str) -> DataFrame:
     kind, name = to_arrow_type(field), field.simpleString()
     chunks = id_text(docs).mapInArrow(
         lambda b: _chunks(b, pattern, kind), f"chunk long, words array<string>, part binary, parts binary, doc_ids array<{name}>, lengths binary, stream binary")
-    chunks = bucketed(chunks.withColumn("vocabulary", F.lit(rank_file)), "chunks", "chunk")
+    with small_batches(spark):
+        chunks = bucketed(chunks.withColumn("vocabulary", F.lit(rank_file)), "chunks", "chunk")
     words = chunks.select("chunk", F.posexplode("words").alias("pos", "word")).select((F.shiftleft("chunk", _POS) + F.col("pos")).alias("place"), "word")
     back = words.repartition("word").sortWithinPartitions("word").mapInArrow(lambda b: _encoded(b, rank_file, pattern), "chunk long, pos binary, n binary, ids binary")
     packs = back.groupBy("chunk").agg(F.collect_list(F.struct("pos", "n", "ids")).alias("packs"))

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,23 @@ from pyspark.sql import functions as F
 ROW_GROUP = 16 << 20
 
 
+#: Rows and bytes of a batch of whole texts on its way to Python, which the JVM and the worker both hold.
+BATCH = {"spark.sql.execution.arrow.maxRecordsPerBatch": 1000, "spark.sql.execution.arrow.maxBytesPerBatch": 8 << 20}
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is computed within hands texts to Python in batches of BATCH; the session's own settings return afterwards."""
+    own = {k: spark.conf.get(k, None) for k in BATCH}
+    try:
+        for k, v in BATCH.items():
+            spark.conf.set(k, str(v))
+        yield
+    finally:
+        for k, v in own.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
