@@ -1,9 +1,8 @@
 """Spreading class scores over a similarity graph: harmonic functions and the quadratic criterion.
 
 Nodes are (dataset, id, y array, e array), one entry for each class; edges are (dataset, i, j, w), symmetric, without
-loops. Two solvers agree: dense systems of datasets of up to a few thousand nodes go to numpy in a grouped function;
-iterate repeats a sparse step over edges as joins and sums, for graphs of any size. solve_exact takes the one that a
-dataset's size asks for.
+loops. Three solvers agree: sparse and dense solve a dataset's system with numpy in a grouped function; iterate repeats a
+sparse step over edges as joins and sums, for graphs of any size. solve_exact takes the one that a dataset's size asks for.
 """
 
 from __future__ import annotations
@@ -19,9 +18,11 @@ from ..functions import kernels
 from . import metrics
 from .storage import bucketed, kept
 
-#: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are iterated until no score
+#: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are solved until no score
 #: moves by more than CLOSE in a step, for so many steps at most, beyond which it is an error.
 DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-8, 5000
+#: Most edges of a dataset of over DENSE nodes that one task may hold (24 MB, and some columns of that length); further ones are iterated as joins.
+SPARSE = 1_000_000
 
 
 def edge_weights(edges: DataFrame, bandwidth: float) -> DataFrame:
@@ -67,34 +68,94 @@ def dense(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, y: np.ndarray, e:
     return f
 
 
-def by_size(nodes: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """nodes of datasets that fit a dense matrix, and those of larger ones, or None where there are none. One count."""
-    large = kept(nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE).select("dataset"))
-    if large.isEmpty():
-        return nodes, None
-    return nodes.join(large, "dataset", "left_anti"), nodes.join(large, "dataset", "left_semi")
+def sparse(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, y: np.ndarray, e: np.ndarray, method: str, unary_weight: float = 1.0, smoothness: float = 1e-2, regularisation: float = 1e-1, most: int = MOST, close: float = CLOSE) -> np.ndarray | None:
+    """What dense gives, of edges alone: conjugate gradients, scaled by the diagonal. None where a step from the result would still move a score by more than close.
+
+    Where no known node can be reached, hard gives 0, as iterate does.
+    """
+    deg, spread = np.bincount(i, w, n), (lambda x: np.bincount(i, w * x[j], n))
+    f = np.empty_like(y)
+    for c in range(y.shape[1]):
+        free, off, fixed = np.ones(n, dtype=bool), 1.0, np.zeros(n)
+        if method == "hard":
+            free = ~(e[:, 0] > 0)
+            fixed = np.where(free, 0.0, y[:, c])
+            diag, b = np.where(free, deg, 0.0), np.where(free, spread(fixed), 0.0)
+        elif method == "harmonic":
+            diag, b = deg + e[:, c], e[:, c] * y[:, c]
+        else:
+            off = smoothness
+            diag, b = unary_weight * e[:, c] + smoothness * deg + smoothness * regularisation, e[:, c] * y[:, c]
+        scale = np.divide(1.0, diag, out=np.zeros(n), where=diag != 0)
+        times = lambda x: np.where(free, diag * x - off * spread(x), 0.0)  # noqa: E731, B023
+        x, r = np.zeros(n), b
+        z = p = scale * r
+        rz = r @ z
+        for _ in range(most):
+            if not np.abs(z).max(initial=0.0) > close * 1e-4:
+                break
+            q = times(p)
+            a = rz / (p @ q)
+            x, r = x + a * p, r - a * q
+            z, before = scale * r, rz
+            rz = r @ z
+            p = z + rz / before * p
+        if not np.abs(scale * (b - times(x))).max(initial=0.0) <= close:
+            return None
+        f[:, c] = (x + 1) / 2 if method == "general" else x + fixed
+    return f
+
+
+def solved(n: int, i: np.ndarray, j: np.ndarray, w: np.ndarray, y: np.ndarray, e: np.ndarray, method: str, limits: tuple[int, int, float], **params: float) -> np.ndarray | None:
+    """Scores by sparse; where those don't stand still, by dense, unless there are too many nodes for it. limits: DENSE, MOST and CLOSE of the driver."""
+    largest, most, close = limits
+    with np.errstate(all="ignore"):
+        f = sparse(n, i, j, w, y, e, method, **params, most=most, close=close)
+    return dense(n, i, j, w, y, e, method, **params) if f is None and n <= largest else f
+
+
+def by_size(nodes: DataFrame, edges: DataFrame) -> list[tuple[DataFrame | None, DataFrame | None]]:
+    """Nodes and edges of datasets of up to DENSE nodes, of those of up to SPARSE edges, and of larger ones; None where there are none. One count of nodes; edges are computed once."""
+    over = kept(nodes.groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > DENSE).select("dataset"))
+    if over.isEmpty():
+        return [(nodes, edges), (None, None), (None, None)]
+    edges = kept(edges)
+    large = kept(edges.join(over, "dataset", "left_semi").groupBy("dataset").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > SPARSE).select("dataset"))
+    some = over.join(large, "dataset", "left_anti")
+    out = [tuple(t.join(over, "dataset", "left_anti") for t in (nodes, edges))]
+    return out + [(None, None) if names.isEmpty() else tuple(t.join(names, "dataset", "left_semi") for t in (nodes, edges)) for names in (some, large)]
+
+
+def _whole(df: DataFrame, column: str) -> DataFrame:
+    """df, computed once, if it has a value in the column everywhere: where solved has none, scores still moved."""
+    df = kept(df)
+    if odd := df.where(F.col(column).isNull()).select("dataset").limit(1).collect():
+        raise ArithmeticError(f"scores of dataset {odd[0][0]} still move after {MOST} steps; a graph must be symmetric")
+    return df
 
 
 def solve_exact(nodes: DataFrame, edges: DataFrame, method: str = "harmonic", **params: float) -> DataFrame:
-    """(dataset, id, scores). Each dataset of up to DENSE nodes is one dense system; larger ones are iterated until their scores stand still."""
+    """(dataset, id, scores). Each dataset of up to DENSE nodes or SPARSE edges is one task's; larger ones are iterated until their scores stand still."""
     kinds = ", ".join(f"{c} {nodes.schema[c].dataType.simpleString()}" for c in ("dataset", "id"))
+    limits = DENSE, MOST, CLOSE
 
     def run(v: pd.DataFrame, g: pd.DataFrame) -> pd.DataFrame:
         if not len(v):
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "id", "scores")})
         at = pd.Series(range(len(v)), index=v["id"])
         i, j = at.reindex(g["i"]).to_numpy(), at.reindex(g["j"]).to_numpy()
-        f = dense(len(v), i.astype(int), j.astype(int), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, **params)
-        return pd.DataFrame({"dataset": v["dataset"].astype(object), "id": v["id"].astype(object), "scores": list(f)})
-
-    small, large = by_size(nodes)
-    edges = edges.select("dataset", "i", "j", "w")
-    own = edges if large is None else edges.join(large.select("dataset").distinct(), "dataset", "left_anti")
-    out = small.groupBy("dataset").cogroup(own.groupBy("dataset")).applyInPandas(run, f"{kinds}, scores array<double>")
-    if large is None:
-        return out
-    classes = large.select(F.max(F.size("y"))).first()[0]
-    return out.unionByName(iterate(large, edges.join(large.select("dataset").distinct(), "dataset", "left_semi"), classes, None, method, **params))
+        f = solved(len(v), i.astype(int), j.astype(int), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, limits, **params)
+        return pd.DataFrame({"dataset": v["dataset"].astype(object), "id": v["id"].astype(object), "scores": [None] * len(v) if f is None else list(f)})
+
+    (small, own), (some, theirs), (large, rest) = by_size(nodes, edges.select("dataset", "i", "j", "w"))
+    solve = lambda v, g: v.groupBy("dataset").cogroup(g.groupBy("dataset")).applyInPandas(run, f"{kinds}, scores array<double>")
+    out = solve(small, own)
+    if some is not None:
+        out = out.unionByName(_whole(solve(some, theirs), "scores"))
+    if large is not None:
+        classes = large.select(F.max(F.size("y"))).first()[0]
+        out = out.unionByName(iterate(large, rest, classes, None, method, **params))
+    return out
 
 
 def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int | None, method: str = "harmonic", unary_weight: float = 1.0, smoothness: float = 1e-2, regularisation: float = 1e-1) -> DataFrame:
@@ -170,16 +231,15 @@ SCORING = {"accuracy": lambda truth, pred: (truth == pred).sum() / (len(truth) +
 def train(pred: DataFrame, distances: DataFrame, truth: DataFrame, classes: list[int], points: dict[str, list[float]], method: str = "harmonic", scoring: str = "accuracy") -> DataFrame:
     """(dataset, bandwidth, unary_weight, score): the score on the truth for every grid point and dataset.
 
-    A dataset is shipped once, to a task that solves it for one grid point after the other; the points of larger ones than
-    DENSE are iterated, one after the other. A dataset with a truth that has no prediction is an error.
+    A dataset is shipped once, to a task that solves it for one grid point after the other; the points of those of over DENSE
+    nodes and SPARSE edges are iterated, one after the other. A dataset with a truth that has no prediction is an error.
     """
     point = [(float(p.get("bandwidth", 1.0)), float(p.get("unary_weight", 1.0))) for p in grid(points)]
     known = truth.select("dataset", "id", F.col("label").alias("truth"))
     if alone := known.join(pred.select("dataset").distinct(), "dataset", "left_semi").join(pred, ["dataset", "id"], "left_anti").limit(3).collect():
         raise ValueError(f"no prediction for {[tuple(r)[:2] for r in alone]}")
-    v, large = by_size(pred.join(known, ["dataset", "id"], "left"))
-    e = distances.where("i <> j").select("dataset", "i", "j", "d")
-    kind = pred.schema["dataset"].dataType.simpleString()
+    (small, own), (some, theirs), (large, rest) = by_size(pred.join(known, ["dataset", "id"], "left"), distances.where("i <> j").select("dataset", "i", "j", "d"))
+    limits, kind = (DENSE, MOST, CLOSE), pred.schema["dataset"].dataType.simpleString()
     score = SCORING[scoring]
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
@@ -189,20 +249,22 @@ def train(pred: DataFrame, distances: DataFrame, truth: DataFrame, classes: list
         i, j, d = at[q["i"]].to_numpy(), at[q["j"]].to_numpy(), q["d"].to_numpy()
         hard, probs = np.stack([p["pred"].to_numpy() == c for c in classes], 1).astype(float), np.stack(p["probs"])
         t = p["truth"].to_numpy(dtype=float)
-        some, out = ~np.isnan(t), []
+        has, out = ~np.isnan(t), []
         for bandwidth, uw in point:
             y, unary = (2 * hard - 1, probs) if method == "general" else (hard, np.exp(uw * probs))
-            f = dense(len(p), i, j, np.exp(-d * bandwidth), y, unary, method, unary_weight=uw)
-            out.append((p["dataset"].iloc[0], bandwidth, uw, float(score(t[some], np.array(classes)[f.argmax(1)][some]))))
+            f = solved(len(p), i, j, np.exp(-d * bandwidth), y, unary, method, limits, unary_weight=uw)
+            out.append((p["dataset"].iloc[0], bandwidth, uw, None if f is None else float(score(t[has], np.array(classes)[f.argmax(1)][has]))))
         return pd.DataFrame(out, columns=["dataset", "bandwidth", "unary_weight", "score"]).astype({"dataset": object})
 
+    solve = lambda v, e: v.groupBy("dataset").cogroup(e.groupBy("dataset")).applyInPandas(run, f"dataset {kind}, bandwidth double, unary_weight double, score double")
+    parts = [solve(small, own)]
+    if some is not None:
+        parts.append(_whole(solve(some, theirs), "score"))
     if large is None:
-        return v.groupBy("dataset").cogroup(e.groupBy("dataset")).applyInPandas(run, f"dataset {kind}, bandwidth double, unary_weight double, score double")
-    names = large.select("dataset").distinct()
-    small = v.groupBy("dataset").cogroup(e.join(names, "dataset", "left_anti").groupBy("dataset")).applyInPandas(run, f"dataset {kind}, bandwidth double, unary_weight double, score double")
+        return reduce(DataFrame.unionByName, parts)
     if scoring != "accuracy":
-        raise ValueError(f"datasets of over {DENSE} nodes are scored by accuracy alone")
-    e, large, parts = kept(e.join(names, "dataset", "left_semi")), kept(large), [small]
+        raise ValueError(f"datasets of over {DENSE} nodes and {SPARSE} edges are scored by accuracy alone")
+    e, large = kept(rest), kept(large)
     for bandwidth, uw in point:
         s = iterate(one_vs_rest(large, classes, method, uw), edge_weights(e, bandwidth), len(classes), None, method, uw)
         judged = decided(s, classes).join(large.where("truth is not null").select("dataset", "id", "truth"), ["dataset", "id"])

@@ -204,3 +204,38 @@ def test_a_cluster_needs_a_shared_folder(spark, monkeypatch):
 
     with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
         storage.shared_dir(Session())
+
+
+@pytest.mark.parametrize("method", ["harmonic", "general", "hard"])
+def test_sparse_solver_agrees_with_dense(method):
+    rng, n = np.random.default_rng(3), 60
+    m = np.triu(rng.random((n, n)) * (rng.random((n, n)) < 0.1), 1)
+    m[50:] = m[:, 50:] = 0  # nodes that nothing reaches
+    i, j = np.nonzero(m + m.T)
+    w, y = (m + m.T)[i, j], rng.integers(0, 2, (n, 3)).astype(float)
+    e = np.repeat((np.arange(n) % 5 == 0) | (np.arange(n) >= 50), 3).reshape(n, 3).astype(float) if method == "hard" else rng.random((n, 3)) + 0.1
+    got = graph.sparse(n, i, j, w, y, e, method)
+    assert np.allclose(got, graph.dense(n, i, j, w, y, e, method), atol=1e-9)
+    assert graph.sparse(n, i, j, w, y, e, method, most=1) is None
+    assert np.allclose(graph.solved(n, i, j, w, y, e, method, (n, 1, 1e-8)), got, atol=1e-9) and graph.solved(n, i, j, w, y, e, method, (n - 1, 1, 1e-8)) is None
+
+
+def test_large_datasets_of_few_edges_are_not_iterated(spark, monkeypatch):
+    """What took the grid search and class masses over three datasets of 3419 nodes beyond any time: hundreds of steps, each a join."""
+    v = catalogue.by_three(spark, SF)
+    edges = neighbours.knn(v, 5, "union")
+    args = (catalogue._pred(v), edges, v.select("dataset", "id", "label"), catalogue.CLASSES, {"bandwidth": [1.0, 4.0]})
+    key = lambda df: sorted((r["dataset"], r["bandwidth"], round(r["score"], 9)) for r in df.collect())
+    nodes = graph.one_vs_rest(args[0], catalogue.CLASSES)
+    want, scores = key(graph.train(*args)), scored(graph.solve_exact(nodes, graph.edge_weights(edges, 2.0)))
+    monkeypatch.setattr(graph, "DENSE", 166)
+    iterate = graph.iterate
+    monkeypatch.setattr(graph, "iterate", lambda *a, **k: pytest.fail("iterated"))
+    assert key(graph.train(*args)) == want
+    got = scored(graph.solve_exact(nodes, graph.edge_weights(edges, 2.0)))
+    assert got.keys() == scores.keys() and all(np.allclose(got[k], scores[k], atol=1e-9) for k in scores)
+    monkeypatch.setattr(graph, "iterate", iterate)
+    monkeypatch.setattr(graph, "SPARSE", 100)
+    monkeypatch.setattr(graph, "CLOSE", 1e-6)
+    got = scored(graph.solve_exact(nodes, graph.edge_weights(edges, 2.0)))
+    assert got.keys() == scores.keys() and all(np.allclose(got[k], scores[k], atol=1e-5) for k in scores)
