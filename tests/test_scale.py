@@ -239,3 +239,11 @@ def test_large_datasets_of_few_edges_are_not_iterated(spark, monkeypatch):
     monkeypatch.setattr(graph, "CLOSE", 1e-6)
     got = scored(graph.solve_exact(nodes, graph.edge_weights(edges, 2.0)))
     assert got.keys() == scores.keys() and all(np.allclose(got[k], scores[k], atol=1e-5) for k in scores)
+
+
+def test_class_mass_of_large_datasets(spark, monkeypatch):
+    key = lambda: sorted(tuple(r) for r in catalogue.QUERIES["g2_class_mass"](spark, SF).collect())
+    want = key()
+    monkeypatch.setattr(graph, "DENSE", 100)
+    monkeypatch.setattr(graph, "iterate", lambda *a, **k: pytest.fail("iterated"))
+    assert key() == want
