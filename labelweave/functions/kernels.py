@@ -103,6 +103,9 @@ BLOCKWISE = {
     chebyshev: lambda x, y: np.abs(x[:, None, :] - y[None, :, :]).max(2),
 }
 
+#: Ways to lay one image on another, by letter.
+FLIPS = "HIVX"
+
 
 def column_means(rows: Column) -> Column:
     """Of an image, an array of rows: the mean of each column."""
@@ -141,6 +144,57 @@ def image_distance(a: Column, b: Column, measure: str, rotations: bool = False)
     return let(best, lambda x: F.struct(F.greatest(x["d"], F.lit(0.0)).alias("d"), x["flip"].alias("flip")))
 
 
+def _standardised(x: np.ndarray) -> np.ndarray:
+    return (x - x.mean(1, keepdims=True)) / np.maximum(x.std(1, keepdims=True), 1e-20)
+
+
+def image_blocks(measure: str, rotations: bool = False) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
+    """image_distance of some images with others, by numpy: distances and letters as places in FLIPS. None for measures that BLOCKWISE lacks."""
+    base = measure.removesuffix("hproj") if measure.endswith("hproj") else measure.removesuffix("proj")
+    f, norm = BLOCKWISE.get(MEASURES[base]), _standardised if base in NORMALISED else lambda x: x
+    if f is None:
+        return None
+
+    def vectors(x: np.ndarray, v: int, h: int) -> np.ndarray:
+        """Of images, or of what they look like upside down (v = -1) or mirrored (h = -1)."""
+        if measure.endswith("hproj"):
+            return norm(x.mean(1))[:, ::h]
+        if measure.endswith("proj"):
+            return np.concatenate([norm(x.mean(1))[:, ::h], norm(x.mean(2))[:, ::v]], 1)
+        return norm(x[:, ::v, ::h].reshape(len(x), -1))
+
+    tries = {"H": (1, -1), "I": (1, 1), "V": (-1, 1), "X": (-1, -1)}
+    tries = {k: s for k, s in tries.items() if k == "I" or rotations and (s[0] == 1 or not measure.endswith("hproj"))}
+
+    def of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, d, flip = vectors(x, 1, 1), None, None
+        for k, way in tries.items():
+            new = f(left, vectors(y, *way))
+            if d is None:
+                d, flip = new, np.full(new.shape, FLIPS.index(k), dtype=np.int8)
+                continue
+            better = (new < d) | (np.isnan(d) & ~np.isnan(new))
+            d, flip = np.where(better, new, d), np.where(better, np.int8(FLIPS.index(k)), flip)
+        return np.maximum(d, 0.0), flip
+
+    return of
+
+
+def by_image(measure: str, rotations: bool = False) -> Callable[[Column, Column], Column]:
+    """image_distance by a measure, for joins in blocks too."""
+
+    def f(a: Column, b: Column) -> Column:
+        return image_distance(a, b, measure, rotations)
+
+    f.blockwise = image_blocks(measure, rotations)
+    return f
+
+
+def blockwise(f: Callable) -> Callable | None:
+    """What gives a measure's distances of some rows with others by numpy, if there is that."""
+    return BLOCKWISE.get(f) or getattr(f, "blockwise", None)
+
+
 def _same_length(a: Column, b: Column, c: Column) -> Column:
     return F.when(F.length(a) != F.length(b), F.raise_error(F.lit("sequences of different length")).cast("int")).otherwise(c)
 

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,6 +18,8 @@ from ..functions import kernels
 
 #: Rows of a block that are compared with another block's at a time, and fewest blocks of a table, so that there are tasks.
 BLOCK, FEWEST = 1024, 4
+#: Rows of a block that are compared with all of another at a time: what numpy holds then stays near the caches.
+STEP = 16
 #: Keeps the deal of blocks apart from samples that were drawn by the plain hash of the id.
 _SALT = 77
 
@@ -67,13 +71,13 @@ def _sides(p: pd.DataFrame) -> tuple[bool, list[np.ndarray], list[np.ndarray]]:
 def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None, other: DataFrame | None = None) -> DataFrame:
     """(by, i, j, d): f of all pairs, of one table both ways round with 0 for itself, or of df with other.
 
-    Of one table each unordered pair is computed once and mirrored. Measures that kernels.BLOCKWISE knows are computed
+    Of one table each unordered pair of rows is computed once and mirrored. Measures that kernels.blockwise knows are computed
     block by block by numpy, others as expressions. Where f gives a struct (d, flip), flip is a column too, I for a row
     and itself.
     """
     blocks = _blocks(df, by, blocks)
-    if other is None and f in kernels.BLOCKWISE:
-        return _distances_of_blocks(df, kernels.BLOCKWISE[f], by, key, value, blocks)
+    if kernels.blockwise(f):
+        return _distances_of_blocks(df, other, f, by, key, value, blocks)
     right = other if other is not None else df
     pairs = block_pairs(df.select(by, key, value), right.select(by, key, value), by, key, blocks, half=other is None)
     out = pairs.select(F.col(f"a_{by}").alias(by), F.col(f"a_{key}").alias("i"), F.col(f"b_{key}").alias("j"), f(F.col(f"a_{value}"), F.col(f"b_{value}")).alias("d"))
@@ -86,20 +90,85 @@ def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str
     return both.unionByName(itself)
 
 
-def _distances_of_blocks(df: DataFrame, f, by: str, key: str, value: str, blocks: int) -> DataFrame:
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        inner, ids, x = _sides(p)
-        n, m = len(ids[0]), len(ids[1])
-        d = np.concatenate([f(x[0][lo : lo + 64], x[1]) for lo in range(0, n, 64)]) if n and m else np.empty((n, m))
-        if inner:
-            np.fill_diagonal(d, 0.0)
-        i, j = np.repeat(ids[0], m), np.tile(ids[1], n)
-        if not inner:
-            i, j, d = np.concatenate([i, j]), np.concatenate([j, i]), np.concatenate([d.ravel(), d.ravel()])
-        return pd.DataFrame({by: pd.Series([p["dataset"].iloc[0]] * len(i), dtype=object), "i": i, "j": j, "d": d.ravel()})
-
-    kinds = [df.schema[c].dataType.simpleString() for c in (by, key)]
-    return _grid_of_blocks(df, by, key, value, blocks).groupBy("dataset", "_i", "_j").applyInPandas(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[1]}, d double")
+def _full(c: Column, kind: T.DataType) -> Column:
+    """Whether an array, and each array in it, holds no NULL."""
+    return F.coalesce(F.forall(c, lambda x: _full(x, kind.elementType)), F.lit(False)) if isinstance(kind, T.ArrayType) else c.isNotNull()
+
+
+def _rectangle_of_blocks(df: DataFrame, other: DataFrame, by: str, key: str, value: str, blocks: int):
+    """Each row of df beside each block of other, and the other way round, grouped by (by, i, j); features are NULL where any number in them is."""
+    sides = []
+    for t, first in ((df, True), (other, False)):
+        features = F.when(_full(F.col(value), t.schema[value].dataType), F.col(value))
+        rows = t.where(F.col(by).isNotNull()).select(F.col(by).alias("dataset"), _block(t, key, blocks).alias("_own"), F.lit(first).alias("_first"), F.col(key).alias("id"), features.alias("features"))
+        each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
+        sides.append(rows.withColumn("_j", each).withColumnRenamed("_own", "_i") if first else rows.withColumn("_i", each).withColumnRenamed("_own", "_j"))
+    return sides[0].unionByName(sides[1]).groupBy("dataset", "_i", "_j")
+
+
+def _stacked(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """ids, arrays of any depth as one (empty ones left out), and which rows have one."""
+    a = t["features"].combine_chunks()
+    ids, there = t["id"].combine_chunks(), np.asarray(a.is_valid())
+    a, shape = a.drop_null(), [int(there.sum())]
+    while pa.types.is_list(a.type) or pa.types.is_large_list(a.type):
+        sizes = pc.list_value_length(a).to_numpy(zero_copy_only=False)
+        if len(sizes) and sizes.min() != sizes.max():
+            raise ValueError(f"vectors of {sizes.min()} and of {sizes.max()} numbers")
+        shape.append(int(sizes[0]) if len(sizes) else 0)
+        a = a.flatten()
+    return ids, a.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(shape), there
+
+
+def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key: str, value: str, blocks: int) -> DataFrame:
+    f, alone = kernels.blockwise(f), other is None
+    probe = f(*[np.zeros((1, 1, 1) if isinstance(df.schema[value].dataType.elementType, T.ArrayType) else (1, 1))] * 2)
+    flips = isinstance(probe, tuple)
+    kinds = [df.schema[by].dataType.simpleString(), df.schema[key].dataType.simpleString(), (df if alone else other).schema[key].dataType.simpleString()]
+    names = [by, "i", "j", "d"] + ["flip"] * flips
+    letters = pa.array(list(kernels.FLIPS))
+
+    def run(t: pa.Table) -> pa.Table:
+        inner = alone and t["_i"][0] == t["_j"][0]
+        t = t.sort_by("id")
+        a = t if inner else t.filter(t["_first"])
+        ids, x, xs = _stacked(a)
+        jds, y, ys = (ids, x, xs) if inner else _stacked(t.filter(pc.invert(t["_first"])))
+        name, out = t["dataset"][:1].combine_chunks(), []
+        row, column = np.cumsum(xs) - 1, np.cumsum(ys) - 1
+        codes = ids.dictionary_encode().indices.to_numpy()  # in the order of the ids
+        for lo in range(0, len(ids) if len(jds) else 0, STEP):
+            hi = min(lo + STEP, len(ids))
+            r, c = np.repeat(np.arange(lo, hi), len(jds)), np.tile(np.arange(len(jds)), hi - lo)
+            d, none, flip = np.zeros((hi - lo, len(jds))), ~(xs[lo:hi, None] & ys[None, :]), np.zeros((hi - lo, len(jds)), dtype=np.int8)
+            if not none.all():
+                got = f(x[row[lo:hi][xs[lo:hi]]], y[column[ys]])
+                where = np.ix_(xs[lo:hi], ys)
+                d[where] = got[0] if flips else got
+                if flips:
+                    flip[where] = got[1]
+            d, none, flip = d.ravel(), none.ravel(), flip.ravel()
+            if inner:  # each pair once, as between blocks; images of one id are none
+                own = r < c if not flips else codes[r] < codes[c]
+                r, c, d, none, flip = r[own], c[own], d[own], none[own], flip[own]
+                same = np.arange(lo, hi)
+                out.append(batch(name, ids.take(pa.array(same)), ids.take(pa.array(same)), np.zeros(hi - lo), np.zeros(hi - lo, dtype=bool), np.full(hi - lo, kernels.FLIPS.index("I"))))
+            i, j = ids.take(pa.array(r)), jds.take(pa.array(c))
+            out.append(batch(name, i, j, d, none, flip))
+            if alone:
+                out.append(batch(name, j, i, d, none, flip))
+        return pa.Table.from_batches(out) if out else batch(name, ids[:0], jds[:0], np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0, dtype=int), table=True)
+
+    def batch(name, i, j, d, none, flip, table=False):
+        columns = [name.take(pa.array(np.zeros(len(d), dtype=int))), i, j, pa.array(d, mask=none)] + [letters.take(pa.array(flip))] * flips
+        return (pa.Table if table else pa.RecordBatch).from_arrays(columns, names=names)
+
+    if alone:
+        whole = df.where(F.col(by).isNotNull()).withColumn(value, F.when(_full(F.col(value), df.schema[value].dataType), F.col(value)))
+        grid = _grid_of_blocks(whole, by, key, value, blocks).groupBy("dataset", "_i", "_j")
+    else:
+        grid = _rectangle_of_blocks(df, other, by, key, value, blocks)
+    return grid.applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, d double" + ", flip string" * flips)
 
 
 def nearest(edges: DataFrame, k: int = 5, symmetric: str | None = None, by: str = "dataset") -> DataFrame:

@@ -247,3 +247,25 @@ def test_class_mass_of_large_datasets(spark, monkeypatch):
     monkeypatch.setattr(graph, "DENSE", 100)
     monkeypatch.setattr(graph, "iterate", lambda *a, **k: pytest.fail("iterated"))
     assert key() == want
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string", "decimal(38,0)"])
+def test_images_meet_in_blocks(spark, kind):
+    """Expressions over all pairs of images took longer than any limit on 10 256 of them."""
+    r = np.random.default_rng(6)
+    x = r.integers(0, 3, (30, 3, 4)).astype(float)  # many ties
+    x[1], x[2], x[3] = 1.0, x[0][::-1], x[0][:, ::-1]
+    df = spark.createDataFrame([(k % 2, str(10 + k), None if k == 7 else [[None if k == 9 and c else float(v) for c, v in enumerate(row)] for row in m]) for k, m in enumerate(x)], "dataset int, id string, image array<array<double>>").withColumn("id", F.col("id").cast(kind))
+    key = lambda t: sorted(repr((*map(str, (p["dataset"], p["i"], p["j"])), None if p["d"] is None else round(p["d"], 8), p["flip"])) for p in t.collect())
+    whole = df.where("id not in ('17', '19')")
+    for measure, rotations in (("SSD", True), ("SSD", False), ("cityblockproj", True), ("SSDhproj", True)):
+        f = kernels.by_image(measure, rotations)
+        for other in (None, whole.where("id > 20")):
+            got = neighbours.distances(whole, f, value="image", blocks=3, other=other)
+            want = neighbours.distances(whole, lambda a, b: kernels.image_distance(a, b, measure, rotations), value="image", blocks=3, other=other)  # noqa: B023
+            assert f.blockwise and got.schema["i"].dataType.simpleString() == kind and key(got) == key(want)
+    assert kernels.by_image("NCCplusok").blockwise is None and key(neighbours.distances(whole, kernels.by_image("NSSD"), value="image")) == key(neighbours.distances(whole, lambda a, b: kernels.image_distance(a, b, "NSSD"), value="image"))
+    out = neighbours.distances(df, kernels.by_image("SSD", True), value="image", blocks=2).collect()
+    assert len(out) == 450 and {p["d"] is None for p in out if p["i"] != p["j"] and {str(p["i"]), str(p["j"])} & {"17", "19"}} == {True}
+    plan = neighbours.distances(df, kernels.by_image("SSD", True), value="image", blocks=2)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan and "InArrow" in plan
