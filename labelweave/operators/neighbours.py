@@ -20,6 +20,8 @@ from ..functions import kernels
 BLOCK, FEWEST = 1024, 4
 #: Rows of a block that are compared with all of another at a time: what numpy holds then stays near the caches.
 STEP = 16
+#: Rows of a block where only least distances leave it, rows of it that go into one matrix product (8 MB), and pairs that are looked at again at a time.
+WIDE, STRIP, MANY = 4096, 256, 1 << 14
 #: Keeps the deal of blocks apart from samples that were drawn by the plain hash of the id.
 _SALT = 77
 
@@ -171,6 +173,49 @@ def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key
     return grid.applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, d double" + ", flip string" * flips)
 
 
+def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x the least squared Euclidean distance of a row of y, NaN where there is no other.
+
+    A matrix product finds which rows may be nearest, so far as its rounding can tell; only those are subtracted and squared.
+    """
+    exact = kernels.BLOCKWISE[kernels.squared_euclidean]
+    xx, yy = (x * x).sum(1), (y * y).sum(1)
+    if not np.isfinite(xx.sum() + yy.sum()):
+        return np.concatenate([np.fmin.reduce(exact(x[lo : lo + STEP], y), axis=1) for lo in range(0, len(x), STEP)])
+    out, doubt = np.empty(len(x)), 1e-14 * (x.shape[1] + 8) * (xx + yy.max())  # far above the error of either way
+    for lo in range(0, len(x), STRIP):
+        part = slice(lo, lo + STRIP)
+        rough = yy - 2 * (x[part] @ y.T)  # the row's own square is the same for all
+        r, c = np.nonzero(rough <= (rough.min(1) + doubt[part])[:, None])
+        starts = np.flatnonzero(np.diff(r, prepend=-1))
+        d = np.concatenate([((x[lo + r[k : k + MANY]] - y[c[k : k + MANY]]) ** 2).sum(1) for k in range(0, len(r), MANY)])
+        out[part] = np.minimum.reduceat(d, starts)
+    return out
+
+
+def least(df: DataFrame, other: DataFrame, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None) -> DataFrame:
+    """(by, i, n, d): for each i of df with what the same dataset has in other, the number of pairs and the least squared Euclidean distance.
+
+    What distances(df, ..., other=other) gives, summed up where blocks meet, so what moves is a row for each i and block and
+    never a row for each pair. A vector that is NULL or holds one counts, at no distance.
+    """
+    blocks = blocks or max(FEWEST, -(-(df.unionByName(other).groupBy(by).count().agg(F.max("count")).first()[0] or 0) // WIDE))
+    kinds = [df.schema[c].dataType.simpleString() for c in (by, key)]
+
+    def run(t: pa.Table) -> pa.Table:
+        ids, x, xs = _stacked(t.filter(t["_first"]))
+        jds, y, _ = _stacked(t.filter(pc.invert(t["_first"])))
+        there, d = np.zeros(len(ids), dtype=bool) | (xs & (len(y) > 0)), np.zeros(len(ids))
+        if there.any():
+            d[there] = _least(x, y)
+        n = len(ids) if len(jds) else 0
+        columns = [t["dataset"].combine_chunks().take(pa.array(np.zeros(n, dtype=int))), ids[:n], pa.array(np.full(n, len(jds), dtype=np.int64)), pa.array(d[:n], mask=~there[:n])]
+        return pa.Table.from_arrays(columns, names=[by, "i", "n", "d"])
+
+    met = _rectangle_of_blocks(df, other, by, key, value, blocks).applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, n long, d double")
+    return met.groupBy(by, "i").agg(F.sum("n").alias("n"), F.min("d").alias("d"))
+
+
 def nearest(edges: DataFrame, k: int = 5, symmetric: str | None = None, by: str = "dataset") -> DataFrame:
     """The k edges of least d from each i, of equal ones those of the smallest j. i itself is among them where it is an edge.
 

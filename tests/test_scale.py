@@ -269,3 +269,22 @@ def test_images_meet_in_blocks(spark, kind):
     assert len(out) == 450 and {p["d"] is None for p in out if p["i"] != p["j"] and {str(p["i"]), str(p["j"])} & {"17", "19"}} == {True}
     plan = neighbours.distances(df, kernels.by_image("SSD", True), value="image", blocks=2)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan and "InArrow" in plan
+
+
+@pytest.mark.parametrize("blocks", [1, 3, None])
+def test_least_distances_are_summed_up_in_blocks(spark, blocks):
+    """A row for each pair of 102 564 vectors took longer than any limit."""
+    r = np.random.default_rng(8)
+    x = r.integers(0, 3, (60, 3)).astype(float) + 1e6  # far from 0, where a product's rounding is coarse, with many ties
+    x[40:50] += r.random((10, 3)) * 1e-6
+    rows = [(k % 2, k, [float(c) for c in v]) for k, v in enumerate(x)]
+    rows += [(0, 100, None), (0, 101, [1e6, None, 1e6]), (0, 102, [float("nan")] * 3), (0, 103, [float("inf"), 0.0, 0.0]), (2, 104, [0.0] * 3), (1, 5, [1e6] * 3)]
+    df = spark.createDataFrame(rows, "dataset int, id long, features array<double>")
+    for left, right in (("id % 3 = 0 or id > 99", "id % 3 > 0"), ("id % 3 = 0", "id > 99 or id % 3 = 1"), ("id < 9", "id = 100")):
+        a, b = df.where(left), df.where(right)
+        d = neighbours.distances(a, lambda x, y: kernels.squared_euclidean(x, y), other=b)  # as expressions
+        want = d.groupBy("dataset", "i").agg(F.count(F.lit(1)).alias("n"), F.min("d").alias("d"))
+        key = lambda t: sorted(repr(tuple(p)) for p in t.select("dataset", "i", "n", F.round("d", 16)).collect())
+        assert key(neighbours.least(a, b, blocks=blocks)) == key(want)
+    plan = catalogue.QUERIES["j12_rectangle"](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert "Join" not in plan
