@@ -6,6 +6,8 @@ the work of one large dataset spreads over all tasks and neither side is broadca
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -173,24 +175,30 @@ def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key
     return grid.applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, d double" + ", flip string" * flips)
 
 
-def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """For each row of x the least squared Euclidean distance of a row of y, NaN where there is no other.
+def _near(x: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strip by strip of x: rows of x, rows of y and their squared Euclidean distances, by row of x, with all that may be among the k nearest of it.
 
-    A matrix product finds which rows may be nearest, so far as its rounding can tell; only those are subtracted and squared.
+    A matrix product finds which may be, so far as its rounding can tell; only those are subtracted and squared. Where numbers
+    aren't finite, these are all pairs.
     """
-    exact = kernels.BLOCKWISE[kernels.squared_euclidean]
     xx, yy = (x * x).sum(1), (y * y).sum(1)
-    if not np.isfinite(xx.sum() + yy.sum()):
-        return np.concatenate([np.fmin.reduce(exact(x[lo : lo + STEP], y), axis=1) for lo in range(0, len(x), STEP)])
-    out, doubt = np.empty(len(x)), 1e-14 * (x.shape[1] + 8) * (xx + yy.max())  # far above the error of either way
+    plain, doubt = not np.isfinite(xx.sum() + yy.sum()), 1e-14 * (x.shape[1] + 8) * (xx + yy.max())  # far above the error of either way
     for lo in range(0, len(x), STRIP):
         part = slice(lo, lo + STRIP)
-        rough = yy - 2 * (x[part] @ y.T)  # the row's own square is the same for all
-        r, c = np.nonzero(rough <= (rough.min(1) + doubt[part])[:, None])
-        starts = np.flatnonzero(np.diff(r, prepend=-1))
-        d = np.concatenate([((x[lo + r[k : k + MANY]] - y[c[k : k + MANY]]) ** 2).sum(1) for k in range(0, len(r), MANY)])
-        out[part] = np.minimum.reduceat(d, starts)
-    return out
+        if plain:
+            may = np.ones((len(x[part]), len(y)), dtype=bool)
+        else:
+            rough = yy - 2 * (x[part] @ y.T)  # the row's own square is the same for all
+            kth = rough.min(1) if k == 1 else np.partition(rough, k - 1, axis=1)[:, k - 1]
+            may = rough <= (kth + doubt[part])[:, None]
+        r, c = np.nonzero(may)
+        r += lo
+        yield r, c, np.concatenate([((x[r[at : at + MANY]] - y[c[at : at + MANY]]) ** 2).sum(1) for at in range(0, len(r), MANY)])
+
+
+def _least(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """For each row of x the least squared Euclidean distance of a row of y, NaN where there is no other."""
+    return np.concatenate([np.fmin.reduceat(d, np.flatnonzero(np.diff(r, prepend=-1))) for r, _, d in _near(x, y, 1)])
 
 
 def least(df: DataFrame, other: DataFrame, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None) -> DataFrame:
@@ -237,12 +245,12 @@ def _nearest_of_blocks(k: int):
     def closest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
         """For each row of x the k nearest of y, of equal ones the first; both in the order of their ids."""
         out, m = [], min(k, len(y))
-        for lo in range(0, len(x), 64):
-            d = kernels.BLOCKWISE[kernels.squared_euclidean](x[lo : lo + 64], y)
-            for r, line in enumerate(d):
-                near = np.flatnonzero(line <= np.partition(line, m - 1)[m - 1])
-                near = near[np.argsort(line[near], kind="stable")][:m]
-                out.append((np.repeat(ids[lo + r : lo + r + 1], m), others[near], line[near]))
+        for r, c, d in _near(x, y, m):
+            order = np.lexsort((c, d, r))
+            r, c, d = r[order], c[order], d[order]
+            first = np.flatnonzero(np.diff(r, prepend=-1))
+            near = np.arange(len(r)) - np.repeat(first, np.diff(first, append=len(r))) < m
+            out.append((ids[r[near]], others[c[near]], d[near]))
         return out
 
     def run(p: pd.DataFrame) -> pd.DataFrame:
@@ -263,7 +271,7 @@ def knn(df: DataFrame, k: int = 5, symmetric: str | None = None, blocks: int | N
 
     There are as many blocks as the largest dataset needs (one count), so what a task holds doesn't grow with it. Each
     pair of blocks meets once and gives only the k nearest of each row, so what is shuffled is k times blocks for a row,
-    not all pairs. Grouped Arrow batches: subtracting and squaring blocks of vectors is what numpy does best.
+    not all pairs. Grouped Arrow batches: products of blocks of vectors are what numpy does best.
     """
     kinds = [df.schema[c].dataType.simpleString() for c in ("dataset", "id")]
     blocks = _blocks(df, "dataset", blocks)

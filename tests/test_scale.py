@@ -288,3 +288,18 @@ def test_least_distances_are_summed_up_in_blocks(spark, blocks):
         assert key(neighbours.least(a, b, blocks=blocks)) == key(want)
     plan = catalogue.QUERIES["j12_rectangle"](spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "Join" not in plan
+
+
+def test_nearest_by_products_are_exact():
+    """Subtracting and squaring all pairs took most of the time of the grid search."""
+    r = np.random.default_rng(9)
+    for x, y in ((r.integers(0, 3, (300, 4)) + 1e6, r.integers(0, 3, (90, 4)) + 1e6), (r.random((40, 64)) * 1e-6 + 7, r.random((50, 64)) * 1e-6 + 7), (np.ones((20, 5)), np.ones((30, 5))), (np.array([[np.nan], [np.inf], [1.0]]), np.array([[2.0], [0.0]]))):
+        with np.errstate(invalid="ignore"):
+            d = ((x[:, None].astype(float) - y[None]) ** 2).sum(2)
+            got = list(neighbours._near(x.astype(float), y.astype(float), 2))
+        rows, columns, found = (np.concatenate(t) for t in zip(*got))
+        assert np.array_equal(found, d[rows, columns], equal_nan=True) and (np.diff(rows) >= 0).all()
+        nearest = {(i, j) for i in range(len(x)) for j in np.lexsort((np.arange(len(y)), d[i]))[:2]}
+        assert nearest <= set(zip(rows.tolist(), columns.tolist()))
+    x, y = r.random((500, 64)), r.random((400, 64))
+    assert sum(len(t[0]) for t in neighbours._near(x, y, 5)) < 3000  # of 200 000 pairs
