@@ -21,8 +21,8 @@ from .storage import bucketed, kept
 #: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are solved until no score
 #: moves by more than CLOSE in a step, for so many steps at most, beyond which it is an error.
 DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-8, 5000
-#: Most edges of a dataset of over DENSE nodes that one task may hold (24 MB, and some columns of that length); further ones are iterated as joins.
-SPARSE = 1_000_000
+#: Most edges of a dataset of over DENSE nodes that one task may hold (96 MB, and some columns of that length); further ones are iterated as joins.
+SPARSE = 4_000_000
 
 
 def edge_weights(edges: DataFrame, bandwidth: float) -> DataFrame:
@@ -201,7 +201,8 @@ def iterate(nodes: DataFrame, edges: DataFrame, classes: int, steps: int | None,
 
 
 def class_mass(scores: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Scores of unknown nodes scaled so that each class has the mass it has among the known ones, plus one; two aggregates and a join of one row for a dataset."""
+    """Scores of unknown nodes scaled so that each class has the mass it has among the known ones, plus one; two aggregates and a join of one row for a dataset. Scores are computed once."""
+    scores = kept(scores)
     known = nodes.where(F.col("e")[0] > 0).select("dataset", F.posexplode("y").alias("c", "v")).groupBy("dataset", "c").agg((F.sum("v") + 1).alias("q"))
     free = scores.join(nodes.where(F.col("e")[0] > 0).select("dataset", "id"), ["dataset", "id"], "left_anti")
     long = free.select("dataset", "id", F.posexplode("scores").alias("c", "v"))

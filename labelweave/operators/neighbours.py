@@ -9,7 +9,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -24,6 +23,8 @@ BLOCK, FEWEST = 1024, 4
 STEP = 16
 #: Rows of a block where only least distances leave it, rows of it that go into one matrix product (8 MB), and pairs that are looked at again at a time.
 WIDE, STRIP, MANY = 4096, 256, 1 << 14
+#: Bytes of the vectors that rows are compared with in one task of knn, fewest and most columns of them that go into one matrix product (8 MB).
+STRIPE, FIRST, LAST = 1 << 25, 1024, 4096
 #: Keeps the deal of blocks apart from samples that were drawn by the plain hash of the id.
 _SALT = 77
 
@@ -65,13 +66,6 @@ def _grid_of_blocks(df: DataFrame, by: str, key: str, value: str, blocks: int) -
     return rows.select("dataset", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_first"), "id", "features")
 
 
-def _sides(p: pd.DataFrame) -> tuple[bool, list[np.ndarray], list[np.ndarray]]:
-    """Whether a pair of blocks is one block twice; ids and vectors of both, in the order of the ids."""
-    inner = p["_i"].iloc[0] == p["_j"].iloc[0]
-    both = [x.sort_values("id") for x in ((p, p) if inner else (p[p["_first"]], p[~p["_first"]]))]
-    return inner, [x["id"].to_numpy() for x in both], [np.stack(x["features"].to_numpy()) if len(x) else np.empty((0, 0)) for x in both]
-
-
 def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None, other: DataFrame | None = None) -> DataFrame:
     """(by, i, j, d): f of all pairs, of one table both ways round with 0 for itself, or of df with other.
 
@@ -231,52 +225,92 @@ def nearest(edges: DataFrame, k: int = 5, symmetric: str | None = None, by: str
     """
     w = Window.partitionBy(by, "i").orderBy("d", "j")
     kept = edges.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= k).select(by, "i", "j", "d")
-    turned = kept.select(by, F.col("j").alias("i"), F.col("i").alias("j"), "d")
     if symmetric is None:
         return kept
     if symmetric == "union":
-        return kept.unionByName(turned).groupBy(by, "i", "j").agg(F.min("d").alias("d"))
+        both = kept.select(by, F.explode(F.array(F.struct("i", "j"), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"), "d")
+        return both.groupBy(by, F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.min("d").alias("d"))
     if symmetric == "intersection":
+        turned = kept.select(by, F.col("j").alias("i"), F.col("i").alias("j"), "d")
         return kept.join(turned.select(by, "i", "j"), [by, "i", "j"])
     raise ValueError(f"symmetric is None, union or intersection, not {symmetric!r}")
 
 
-def _nearest_of_blocks(k: int):
-    def closest(ids: np.ndarray, x: np.ndarray, others: np.ndarray, y: np.ndarray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """For each row of x the k nearest of y, of equal ones the first; both in the order of their ids."""
-        out, m = [], min(k, len(y))
-        for r, c, d in _near(x, y, m):
+def _closest(x: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Strip by strip of x: rows of x, for each the k nearest rows of y, of equal ones the first, and their squared Euclidean distances.
+
+    Columns come in growing chunks, in their order. A matrix product finds which of a chunk may be nearer than the k found so
+    far, so far as its rounding can tell; only those are subtracted and squared. Vectors that aren't finite meet all others.
+    """
+    m, sizes = min(k, len(y)), [(t * t).sum(1) for t in (x, y)]
+    (xx, yy), (oddx, oddy) = sizes, [~(t < 1e300) for t in sizes]
+    doubt = 1e-14 * (x.shape[1] + 8) * (xx + yy[~oddy].max(initial=0.0))  # far above the error of either way
+    left = np.column_stack([np.where(oddx[:, None], 0.0, -2 * x), np.ones(len(x))])  # the row's own square is the same for all
+    right = np.column_stack([np.where(oddy[:, None], 0.0, y), np.where(oddy, np.inf, yy)]).T
+    edges = [0]
+    while edges[-1] < len(y):
+        edges.append(min(len(y), edges[-1] + min(LAST, max(FIRST, edges[-1]))))
+    for lo in range(0, len(x), STRIP):
+        part = slice(lo, lo + STRIP)
+        n = len(xx[part])
+        most, found = np.full(n, np.inf), [np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0)]
+        for start, stop in zip(edges, edges[1:]):
+            rough = left[part] @ right[:, start:stop]
+            if not start and m < stop:
+                most = np.partition(rough, m - 1, axis=1)[:, m - 1] + doubt[part]
+            may = rough <= most[:, None]
+            may[oddx[part]] = True
+            may[:, oddy[start:stop]] = True
+            r, c = np.nonzero(may)
+            if not len(r):
+                continue
+            a, b = r + lo, c + start
+            d = np.concatenate([((x[a[at : at + MANY]] - y[b[at : at + MANY]]) ** 2).sum(1) for at in range(0, len(r), MANY)])
+            r, c, d = (np.concatenate(t) for t in zip(found, (r, b, d)))
             order = np.lexsort((c, d, r))
             r, c, d = r[order], c[order], d[order]
-            first = np.flatnonzero(np.diff(r, prepend=-1))
-            near = np.arange(len(r)) - np.repeat(first, np.diff(first, append=len(r))) < m
-            out.append((ids[r[near]], others[c[near]], d[near]))
-        return out
-
-    def run(p: pd.DataFrame) -> pd.DataFrame:
-        inner, ids, x = _sides(p)
-        rows = []
-        if len(ids[0]) and len(ids[1]):
-            rows = closest(ids[0], x[0], ids[1], x[1]) + ([] if inner else closest(ids[1], x[1], ids[0], x[0]))
-        if not rows:
-            return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "i", "j", "d")})
-        i, j, d = (np.concatenate(c) for c in zip(*rows))
-        return pd.DataFrame({"dataset": pd.Series([p["dataset"].iloc[0]] * len(i), dtype=object), "i": i, "j": j, "d": d})
-
-    return run
+            count = np.bincount(r, minlength=n)
+            first = np.cumsum(count) - count
+            near = np.arange(len(r)) - first[r] < m
+            full = count >= m
+            kth = d[first[full] + m - 1]
+            most[full] = np.where(kth == 0, -np.inf, np.where(np.isnan(kth), np.inf, kth - xx[part][full] + doubt[part][full]))  # nothing after k copies is nearer
+            found = [r[near], c[near], d[near]]
+        yield found[0] + lo, found[1], found[2]
 
 
 def knn(df: DataFrame, k: int = 5, symmetric: str | None = None, blocks: int | None = None) -> DataFrame:
     """nearest() by squared Euclidean distance of (dataset, id, features), fused with the distances. Ids are of any type that has an order.
 
-    There are as many blocks as the largest dataset needs (one count), so what a task holds doesn't grow with it. Each
-    pair of blocks meets once and gives only the k nearest of each row, so what is shuffled is k times blocks for a row,
-    not all pairs. Grouped Arrow batches: products of blocks of vectors are what numpy does best.
+    A task compares a block of rows with a stripe of the dataset, so many bytes of vectors at most (one count), so what it
+    holds doesn't grow with the dataset. It gives only the k nearest of each row, so what is shuffled is k rows for a row and
+    stripe, and each vector once for each block and stripe; not all pairs. Grouped Arrow batches: products of matrices are
+    what numpy does best. blocks: so many blocks, and stripes, instead.
     """
+    stripes = blocks
+    if blocks is None:
+        most, numbers = df.groupBy("dataset").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("features")).alias("f")).agg(F.max("n"), F.max("f")).first()
+        wide = max(FIRST, STRIPE // (8 * max(1, numbers or 0)))
+        blocks, stripes = max(2 * FEWEST, -(-(most or 0) // max(FIRST, wide // 4))), max(1, -(-(most or 0) // wide))
+    rows = df.select("dataset", F.col("id"), "features")
+    block, stripe, every = _block(df, "id", blocks), _block(df, "id", stripes), lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    own = rows.select("*", block.alias("_i"), F.lit(True).alias("_first")).withColumn("_j", every(stripes))
+    others = rows.select("*", stripe.alias("_j"), F.lit(False).alias("_first")).withColumn("_i", every(blocks))
     kinds = [df.schema[c].dataType.simpleString() for c in ("dataset", "id")]
-    blocks = _blocks(df, "dataset", blocks)
-    part = _grid_of_blocks(df, "dataset", "id", "features", blocks).groupBy("dataset", "_i", "_j").applyInPandas(_nearest_of_blocks(k), f"dataset {kinds[0]}, i {kinds[1]}, j {kinds[1]}, d double")
-    return nearest(part, k, symmetric)
+
+    def run(t: pa.Table) -> pa.Table:
+        t = t.sort_by("id")
+        (ids, x, xs), (jds, y, ys) = (_stacked(s) for s in (t.filter(t["_first"]), t.filter(pc.invert(t["_first"]))))
+        if not (xs.all() and ys.all()):
+            raise ValueError(f"a row of dataset {t['dataset'][0]} has no vector")
+        with np.errstate(invalid="ignore"):
+            found = list(_closest(x, y, k)) if len(x) and len(y) else []
+        r, c, d = (np.concatenate(p) for p in zip(*found)) if found else (np.empty(0, dtype=int), np.empty(0, dtype=int), np.empty(0))
+        name = t["dataset"].combine_chunks().take(pa.array(np.zeros(len(r), dtype=int)))
+        return pa.Table.from_arrays([name, ids.take(pa.array(r)), jds.take(pa.array(c)), pa.array(d)], names=["dataset", "i", "j", "d"])
+
+    met = own.unionByName(others).groupBy("dataset", "_i", "_j").applyInArrow(run, f"dataset {kinds[0]}, i {kinds[1]}, j {kinds[1]}, d double")
+    return nearest(met, k, symmetric)
 
 
 def report(edges: DataFrame, truth: DataFrame, pred: DataFrame | None = None, prop: DataFrame | None = None, k: int = 10, by: str = "dataset", errors: bool = False) -> DataFrame:
