@@ -21,8 +21,8 @@ from .storage import bucketed, kept
 #: Most nodes of a dataset whose dense matrix one task may hold (72 MB), and steps between checkpoints. Larger datasets are solved until no score
 #: moves by more than CLOSE in a step, for so many steps at most, beyond which it is an error.
 DENSE, EVERY, CLOSE, MOST = 3000, 5, 1e-8, 5000
-#: Most edges of a dataset of over DENSE nodes that one task may hold (96 MB, and some columns of that length); further ones are iterated as joins.
-SPARSE = 4_000_000
+#: Most edges of a dataset of over DENSE nodes that one task may hold (48 MB, and some columns of that length); further ones are iterated as joins.
+SPARSE = 2_000_000
 
 
 def edge_weights(edges: DataFrame, bandwidth: float) -> DataFrame:
@@ -144,7 +144,7 @@ def solve_exact(nodes: DataFrame, edges: DataFrame, method: str = "harmonic", **
             return pd.DataFrame({c: pd.Series([], dtype=object) for c in ("dataset", "id", "scores")})
         at = pd.Series(range(len(v)), index=v["id"])
         i, j = at.reindex(g["i"]).to_numpy(), at.reindex(g["j"]).to_numpy()
-        f = solved(len(v), i.astype(int), j.astype(int), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, limits, **params)
+        f = solved(len(v), i.astype(int, copy=False), j.astype(int, copy=False), g["w"].to_numpy(), np.stack(v["y"]), np.stack(v["e"]), method, limits, **params)
         return pd.DataFrame({"dataset": v["dataset"].astype(object), "id": v["id"].astype(object), "scores": [None] * len(v) if f is None else list(f)})
 
     (small, own), (some, theirs), (large, rest) = by_size(nodes, edges.select("dataset", "i", "j", "w"))
