@@ -7,6 +7,7 @@ gives NULL.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from decimal import ROUND_HALF_UP, Context, Decimal
 
 import numpy as np
 import pandas as pd
@@ -105,6 +106,8 @@ BLOCKWISE = {
 
 #: Ways to lay one image on another, by letter.
 FLIPS = "HIVX"
+#: Images that are compared with all others of a block at a time, where all ways are subtracted and squared: what numpy holds then stays near the caches.
+STEP = 16
 
 
 def column_means(rows: Column) -> Column:
@@ -148,6 +151,51 @@ def _standardised(x: np.ndarray) -> np.ndarray:
     return (x - x.mean(1, keepdims=True)) / np.maximum(x.std(1, keepdims=True), 1e-20)
 
 
+def half_up(d: np.ndarray, digits: int) -> np.ndarray:
+    """What Spark's round() gives: halves of the shortest decimal away from zero, and -0 as 0. Only numbers beside a half are looked at as decimals."""
+    scale, out = 10.0**digits, d + 0.0
+    with np.errstate(invalid="ignore", over="ignore"):
+        scaled = d * scale
+        np.divide(np.rint(scaled), scale, out=out, where=np.isfinite(scaled))
+        unsure = np.abs(scaled - np.floor(scaled) - 0.5) <= 4 * np.finfo(float).eps * (np.abs(scaled) + 1)
+    unsure |= np.isfinite(d) & ~np.isfinite(scaled)
+    if unsure.any():
+        exact, unit = Context(prec=800), Decimal(1).scaleb(-digits)
+        out[unsure] = [float(Decimal(repr(v)).quantize(unit, ROUND_HALF_UP, exact)) for v in d[unsure].tolist()]
+    return out + 0.0
+
+
+def _least_squares(x: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray] | None:
+    """The least squared Euclidean distance of each row of x to the row of each place in sides (way, place, number), and the first way that gives it.
+
+    Matrix products find the ways that may give it, so far as their rounding can tell; only those are subtracted and squared.
+    None where numbers aren't finite.
+    """
+    xx, yy = (x * x).sum(1), (sides * sides).sum(2)
+    if not np.isfinite(xx.sum() + yy.sum()):
+        return None
+    rough = [yy[k] - 2 * (x @ sides[k].T) for k in range(len(sides))]  # the row's own square is the same for all
+    low, way = rough[0].copy(), np.zeros(rough[0].shape, dtype=np.int8)
+    for k in range(1, len(sides)):
+        way[rough[k] < low] = k
+        np.minimum(low, rough[k], out=low)
+    low += (1e-14 * (x.shape[1] + 8) * (xx + yy.max(initial=0.0)))[:, None]  # far above the error of either way
+    many = sum((r <= low).view(np.int8) for r in rough) > 1
+    flat, places, d = sides.reshape(-1, sides.shape[2]), np.arange(sides.shape[1]), np.empty(low.shape)
+    near = np.empty((len(places), sides.shape[2]))
+    for r in range(len(x)):
+        np.take(flat, way[r].astype(np.intp) * len(places) + places, axis=0, out=near, mode="clip")
+        np.subtract(x[r], near, out=near)
+        np.multiply(near, near, out=near)
+        near.sum(1, out=d[r])
+        c = np.flatnonzero(many[r])
+        if len(c):
+            each = ((x[r] - sides[:, c]) ** 2).sum(2)
+            way[r, c] = each.argmin(0)
+            d[r, c] = each.min(0)
+    return d, way
+
+
 def image_blocks(measure: str, rotations: bool = False) -> Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]] | None:
     """image_distance of some images with others, by numpy: distances and letters as places in FLIPS. None for measures that BLOCKWISE lacks."""
     base = measure.removesuffix("hproj") if measure.endswith("hproj") else measure.removesuffix("proj")
@@ -166,16 +214,23 @@ def image_blocks(measure: str, rotations: bool = False) -> Callable[[np.ndarray,
     tries = {"H": (1, -1), "I": (1, 1), "V": (-1, 1), "X": (-1, -1)}
     tries = {k: s for k, s in tries.items() if k == "I" or rotations and (s[0] == 1 or not measure.endswith("hproj"))}
 
-    def of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        left, d, flip = vectors(x, 1, 1), None, None
-        for k, way in tries.items():
-            new = f(left, vectors(y, *way))
-            if d is None:
-                d, flip = new, np.full(new.shape, FLIPS.index(k), dtype=np.int8)
-                continue
+    letters = np.array([FLIPS.index(k) for k in tries], dtype=np.int8)
+
+    def plain(left: np.ndarray, sides: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        d, flip = f(left, sides[0]), np.zeros((len(left), sides.shape[1]), dtype=np.int8)
+        for k in range(1, len(sides)):
+            new = f(left, sides[k])
             better = (new < d) | (np.isnan(d) & ~np.isnan(new))
-            d, flip = np.where(better, new, d), np.where(better, np.int8(FLIPS.index(k)), flip)
-        return np.maximum(d, 0.0), flip
+            d, flip = np.where(better, new, d), np.where(better, np.int8(k), flip)
+        return d, flip
+
+    def of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        left, sides = vectors(x, 1, 1), np.stack([vectors(y, *way) for way in tries.values()])
+        got = _least_squares(left, sides) if MEASURES[base] is squared_euclidean and len(tries) > 1 else None
+        if got is None:
+            parts = [plain(left[lo : lo + STEP], sides) for lo in range(0, max(1, len(left)), STEP)]
+            got = tuple(np.concatenate(p) for p in zip(*parts))
+        return np.maximum(got[0], 0.0), letters[got[1]]
 
     return of
 

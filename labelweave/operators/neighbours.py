@@ -19,9 +19,13 @@ from ..functions import kernels
 
 #: Rows of a block that are compared with another block's at a time, and fewest blocks of a table, so that there are tasks.
 BLOCK, FEWEST = 1024, 4
-#: Rows of a block that are compared with all of another at a time: what numpy holds then stays near the caches.
-STEP = 16
-#: Rows of a block where only least distances leave it, rows of it that go into one matrix product (8 MB), and pairs that are looked at again at a time.
+#: Rows of a block that are compared with BLOCK of another at a time, and whose pairs leave together; fewer at a time are subtracted: what numpy holds then stays near the caches.
+TALL, STEP = 64, 16
+#: Pairs that come before they are turned round: Parquet's snappy then stores a distance once (256 bytes, of longer runs some are missed), and its run lengths an id.
+RUN = 32
+#: Pairs of rows that are worth a task, and most tasks.
+WORTH, TASKS = 1 << 20, 10_000
+#: Rows of a block where pairs or only least distances leave it as they are found, rows of it that go into one matrix product (8 MB), and pairs that are looked at again at a time.
 WIDE, STRIP, MANY = 4096, 256, 1 << 14
 #: Bytes of the vectors that rows are compared with in one task of knn, fewest and most columns of them that go into one matrix product (8 MB).
 STRIPE, FIRST, LAST = 1 << 25, 1024, 4096
@@ -66,16 +70,18 @@ def _grid_of_blocks(df: DataFrame, by: str, key: str, value: str, blocks: int) -
     return rows.select("dataset", F.least("_own", "_other").alias("_i"), F.greatest("_own", "_other").alias("_j"), (F.col("_own") <= F.col("_other")).alias("_first"), "id", "features")
 
 
-def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None, other: DataFrame | None = None) -> DataFrame:
+def distances(df: DataFrame, f, by: str = "dataset", key: str = "id", value: str = "features", blocks: int | None = None, other: DataFrame | None = None, digits: int | None = None) -> DataFrame:
     """(by, i, j, d): f of all pairs, of one table both ways round with 0 for itself, or of df with other.
 
     Of one table each unordered pair of rows is computed once and mirrored. Measures that kernels.blockwise knows are computed
     block by block by numpy, others as expressions. Where f gives a struct (d, flip), flip is a column too, I for a row
-    and itself.
+    and itself. digits: d is rounded to so many, once for a pair and its mirror.
     """
-    blocks = _blocks(df, by, blocks)
     if kernels.blockwise(f):
-        return _distances_of_blocks(df, other, f, by, key, value, blocks)
+        return _distances_of_blocks(df, other, f, by, key, value, blocks, digits)
+    blocks = _blocks(df, by, blocks)
+    if digits is not None:
+        return distances(df, f, by, key, value, blocks, other).withColumn("d", F.round("d", digits) + F.lit(0.0))
     right = other if other is not None else df
     pairs = block_pairs(df.select(by, key, value), right.select(by, key, value), by, key, blocks, half=other is None)
     out = pairs.select(F.col(f"a_{by}").alias(by), F.col(f"a_{key}").alias("i"), F.col(f"b_{key}").alias("j"), f(F.col(f"a_{value}"), F.col(f"b_{value}")).alias("d"))
@@ -94,14 +100,14 @@ def _full(c: Column, kind: T.DataType) -> Column:
 
 
 def _rectangle_of_blocks(df: DataFrame, other: DataFrame, by: str, key: str, value: str, blocks: int):
-    """Each row of df beside each block of other, and the other way round, grouped by (by, i, j); features are NULL where any number in them is."""
+    """Each row of df beside each block of other, and the other way round, as (by, i, j); features are NULL where any number in them is."""
     sides = []
     for t, first in ((df, True), (other, False)):
         features = F.when(_full(F.col(value), t.schema[value].dataType), F.col(value))
         rows = t.where(F.col(by).isNotNull()).select(F.col(by).alias("dataset"), _block(t, key, blocks).alias("_own"), F.lit(first).alias("_first"), F.col(key).alias("id"), features.alias("features"))
         each = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
         sides.append(rows.withColumn("_j", each).withColumnRenamed("_own", "_i") if first else rows.withColumn("_i", each).withColumnRenamed("_own", "_j"))
-    return sides[0].unionByName(sides[1]).groupBy("dataset", "_i", "_j")
+    return sides[0].unionByName(sides[1])
 
 
 def _stacked(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
@@ -118,7 +124,26 @@ def _stacked(t: pa.Table) -> tuple[pa.Array, np.ndarray, np.ndarray]:
     return ids, a.to_numpy(zero_copy_only=False).astype(float, copy=False).reshape(shape), there
 
 
-def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key: str, value: str, blocks: int) -> DataFrame:
+def _met(df: DataFrame, other: DataFrame | None, by: str, value: str, blocks: int | None) -> tuple[int, int]:
+    """Blocks, and tasks for what meets between them: 0 where there is little. One count.
+
+    A row moves once for each block that its own one meets, so blocks are as large as WIDE, or STRIPE bytes of vectors.
+    """
+    sides = [df] if other is None else [df, other]
+    kind, sizes = df.schema[value].dataType.elementType, []
+    numbers = F.size(F.flatten(value) if isinstance(kind, T.ArrayType) else F.col(value))
+    for k, t in enumerate(sides):
+        sizes.append(t.groupBy(by).agg(F.count(F.lit(1)).alias("_n"), F.max(numbers).alias("_f")).select(by, *[F.lit(0).alias(f"_{j}") if j != k else F.col("_n").alias(f"_{j}") for j in range(len(sides))], "_f"))
+    each = sizes[0] if other is None else sizes[0].unionByName(sizes[1]).groupBy(by).agg(F.max("_0").alias("_0"), F.max("_1").alias("_1"), F.max("_f").alias("_f"))
+    a, b = F.col("_0").cast("double"), F.col("_0" if other is None else "_1").cast("double")
+    most, pairs, datasets, long = each.agg(F.max(F.greatest(a, b)), F.sum(a * b), F.count(F.lit(1)), F.max("_f")).first()
+    side = min(WIDE, max(BLOCK, STRIPE // (8 * max(1, long or 0))))
+    blocks = blocks or max(FEWEST, -(-int(most or 0) // side))
+    tasks = int(min((pairs or 0) // WORTH, 2 * datasets * blocks * (blocks + 1), TASKS))
+    return blocks, max(tasks, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))) if tasks > 1 else 0
+
+
+def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key: str, value: str, blocks: int | None, digits: int | None) -> DataFrame:
     f, alone = kernels.blockwise(f), other is None
     probe = f(*[np.zeros((1, 1, 1) if isinstance(df.schema[value].dataType.elementType, T.ArrayType) else (1, 1))] * 2)
     flips = isinstance(probe, tuple)
@@ -126,47 +151,74 @@ def _distances_of_blocks(df: DataFrame, other: DataFrame | None, f, by: str, key
     names = [by, "i", "j", "d"] + ["flip"] * flips
     letters = pa.array(list(kernels.FLIPS))
 
-    def run(t: pa.Table) -> pa.Table:
+    def of(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray | None]:
+        if flips:
+            return f(x, y)
+        return np.concatenate([f(x[lo : lo + STEP], y) for lo in range(0, len(x), STEP)]), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Pairs of TALL rows with BLOCK others at a time, so the pairs of two blocks are never held together.
+
+        Of one table RUN pairs of a row come, then the same turned round.
+        """
+        t = pa.Table.from_batches(batches)
         inner = alone and t["_i"][0] == t["_j"][0]
         t = t.sort_by("id")
         a = t if inner else t.filter(t["_first"])
         ids, x, xs = _stacked(a)
         jds, y, ys = (ids, x, xs) if inner else _stacked(t.filter(pc.invert(t["_first"])))
-        name, out = t["dataset"][:1].combine_chunks(), []
+        name = t["dataset"][:1].combine_chunks().take(pa.array(np.zeros(2 * TALL * BLOCK, dtype=int)))
         row, column = np.cumsum(xs) - 1, np.cumsum(ys) - 1
-        codes = ids.dictionary_encode().indices.to_numpy()  # in the order of the ids
-        for lo in range(0, len(ids) if len(jds) else 0, STEP):
-            hi = min(lo + STEP, len(ids))
-            r, c = np.repeat(np.arange(lo, hi), len(jds)), np.tile(np.arange(len(jds)), hi - lo)
-            d, none, flip = np.zeros((hi - lo, len(jds))), ~(xs[lo:hi, None] & ys[None, :]), np.zeros((hi - lo, len(jds)), dtype=np.int8)
-            if not none.all():
-                got = f(x[row[lo:hi][xs[lo:hi]]], y[column[ys]])
-                where = np.ix_(xs[lo:hi], ys)
-                d[where] = got[0] if flips else got
-                if flips:
-                    flip[where] = got[1]
-            d, none, flip = d.ravel(), none.ravel(), flip.ravel()
-            if inner:  # each pair once, as between blocks; images of one id are none
-                own = r < c if not flips else codes[r] < codes[c]
-                r, c, d, none, flip = r[own], c[own], d[own], none[own], flip[own]
-                same = np.arange(lo, hi)
-                out.append(batch(name, ids.take(pa.array(same)), ids.take(pa.array(same)), np.zeros(hi - lo), np.zeros(hi - lo, dtype=bool), np.full(hi - lo, kernels.FLIPS.index("I"))))
-            i, j = ids.take(pa.array(r)), jds.take(pa.array(c))
-            out.append(batch(name, i, j, d, none, flip))
-            if alone:
-                out.append(batch(name, j, i, d, none, flip))
-        return pa.Table.from_batches(out) if out else batch(name, ids[:0], jds[:0], np.zeros(0), np.zeros(0, dtype=bool), np.zeros(0, dtype=int), table=True)
-
-    def batch(name, i, j, d, none, flip, table=False):
-        columns = [name.take(pa.array(np.zeros(len(d), dtype=int))), i, j, pa.array(d, mask=none)] + [letters.take(pa.array(flip))] * flips
-        return (pa.Table if table else pa.RecordBatch).from_arrays(columns, names=names)
-
+        codes = ids.dictionary_encode().indices.to_numpy(zero_copy_only=False)  # in the order of the ids
+        every, after = (ids if inner else pa.concat_arrays([ids, jds])) if alone else None, 0 if inner else len(ids)
+
+        def batch(i: pa.Array, j: pa.Array, d: np.ndarray, none: np.ndarray | None, flip: np.ndarray) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([name[: len(d)], i, j, pa.array(d, mask=none)] + [letters.take(pa.array(flip))] * flips, names=names)
+
+        if inner:
+            for lo in range(0, len(ids), TALL):
+                n = len(ids[lo : lo + TALL])
+                yield batch(ids[lo : lo + n], ids[lo : lo + n], np.zeros(n), None, np.full(n, kernels.FLIPS.index("I"), dtype=np.int8))
+        for left in range(0, len(jds), BLOCK):
+            c = np.arange(left, min(left + BLOCK, len(jds)))
+            order = np.argsort(np.concatenate([c // RUN * 2 + k for k in range(1 + alone)]), kind="stable")
+            for lo in range(0, min(len(ids), c[-1]) if inner else len(ids), TALL):
+                r = np.arange(lo, min(lo + TALL, len(ids)))
+                there, others = xs[r], ys[c]
+                whole = there.all() and others.all()
+                d, flip = np.zeros((len(r), len(c))), np.zeros((len(r), len(c)), dtype=np.int8)
+                if there.any() and others.any():
+                    got = of(x[row[r[there]]], y[column[c[others]]])
+                    where = np.ix_(there, others)
+                    d[where] = got[0] if digits is None else kernels.half_up(got[0], digits)
+                    if flips:
+                        flip[where] = got[1]
+                own = None
+                if inner and not (codes[r[-1]] < codes[c[0]] if flips else r[-1] < c[0]):  # each pair once, as between blocks; images of one id are none
+                    own = codes[r][:, None] < codes[c] if flips else r[:, None] < c
+                    if not own.any():
+                        continue
+
+                mine = None if own is None else np.concatenate([own, own], 1)[:, order]  # of one table, so turned round too
+
+                def spread(v: np.ndarray, turned: np.ndarray | None = None) -> np.ndarray:
+                    """What is of pairs and, by default the same, of pairs turned round, in the order they leave."""
+                    w = np.concatenate([v, v if turned is None else turned], 1)[:, order] if alone else v  # noqa: B023
+                    return w.ravel() if mine is None else w[mine]
+
+                near, far = (np.broadcast_to(v, d.shape).astype(np.int32) for v in (r[:, None], c + (after if alone else 0)))
+                i, j = (ids if every is None else every).take(pa.array(spread(near, far))), (jds if every is None else every).take(pa.array(spread(far, near)))
+                yield batch(i, j, spread(d), None if whole else spread(~(there[:, None] & others)), spread(flip))
+
+    blocks, tasks = _met(df, other, by, value, blocks)
     if alone:
         whole = df.where(F.col(by).isNotNull()).withColumn(value, F.when(_full(F.col(value), df.schema[value].dataType), F.col(value)))
-        grid = _grid_of_blocks(whole, by, key, value, blocks).groupBy("dataset", "_i", "_j")
+        grid = _grid_of_blocks(whole, by, key, value, blocks)
     else:
         grid = _rectangle_of_blocks(df, other, by, key, value, blocks)
-    return grid.applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, d double" + ", flip string" * flips)
+    if tasks:
+        grid = grid.repartition(tasks, "dataset", "_i", "_j")
+    return grid.groupBy("dataset", "_i", "_j").applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, j {kinds[2]}, d double" + ", flip string" * flips)
 
 
 def _near(x: np.ndarray, y: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
@@ -214,7 +266,7 @@ def least(df: DataFrame, other: DataFrame, by: str = "dataset", key: str = "id",
         columns = [t["dataset"].combine_chunks().take(pa.array(np.zeros(n, dtype=int))), ids[:n], pa.array(np.full(n, len(jds), dtype=np.int64)), pa.array(d[:n], mask=~there[:n])]
         return pa.Table.from_arrays(columns, names=[by, "i", "n", "d"])
 
-    met = _rectangle_of_blocks(df, other, by, key, value, blocks).applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, n long, d double")
+    met = _rectangle_of_blocks(df, other, by, key, value, blocks).groupBy("dataset", "_i", "_j").applyInArrow(run, f"{by} {kinds[0]}, i {kinds[1]}, n long, d double")
     return met.groupBy(by, "i").agg(F.sum("n").alias("n"), F.min("d").alias("d"))
 
 
